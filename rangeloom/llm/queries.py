@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm import chat, common, lines, mixing, quality, sharding, simhash, sql, substring
+from rangeloom.llm import chat, common, decontaminate, langid, lines, mixing, ngram_lm, quality, sharding, simhash, sql, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -44,6 +48,20 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = langid.fit(docs.where(~langid.held_out()))
+    out = langid.identified(docs.select("doc_id", "text"), trees)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram_lm.train(docs.where(ngram_lm.learned_from()))
+    out = ngram_lm.scored(docs, model)
+    return out.select("doc_id", (~ngram_lm.learned_from()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -53,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_quality_rules, op3_substring_dedup, op4_line_dedup, op5_chat_format, op6_source_mixing, op9_simhash, op10_sharding]
+    own = [op1_decontaminate, op2_quality_rules, op3_substring_dedup, op4_line_dedup, op5_chat_format, op6_source_mixing, op7_language_id, op8_lm_scoring, op9_simhash, op10_sharding]
     return {f.__name__: f for f in own}
 
 

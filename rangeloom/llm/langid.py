@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rangeloom.llm.common import steps, text_array, texts_of
 
@@ -152,7 +153,7 @@ def identified(docs: DataFrame, trees: Trees | None, text: str = "text") -> Data
     The text alone is read; columns of docs named lang_pred or score are replaced. Ties: the first name wins."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.select(*rest).schema.fields)).add("lang_pred", "string").add("score", "double")
 
     def predict(batches):
         model = shared.value

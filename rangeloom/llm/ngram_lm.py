@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rangeloom.llm.common import LOWER, Rolling, Texts, U, long_array, mix, steps, texts_of, written
 from rangeloom.llm.eliasfano import Builder, Sequence, Shape
@@ -331,7 +332,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     these names are replaced; the text alone is read. Without training texts every word is unknown."""
     added = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
     rest = [c for c in docs.columns if c not in added]
-    schema = docs.select(*rest).schema
+    schema = StructType(list(docs.select(*rest).schema.fields))
     for name, kind in added.items():
         schema = schema.add(name, kind)
 

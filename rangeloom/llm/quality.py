@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ PUNCTUATION_SHARE = 0.15
 NAVIGATION_MARKS = 3
 #: A document that loses more of its characters than this is rejected.
 LOST_SHARE = 0.5
-#: Words without an end mark that a line may have and still count as a fragment.
+#: A line of so many words or fewer that has no end mark is a fragment.
 FRAGMENT_WORDS = 2
 
 # Phrases, lower case, that mark a line as boilerplate.
@@ -40,15 +42,23 @@ MARKS = r"[|\x{2022}\x{00BB}\x{203A}>]"
 END = r"[.!?:;\"'\)\x{2026}\x{3002}\x{FF01}\x{FF1F}][\x20\x09-\x0D]*$"
 
 
-def line_fails(line, n_words):
-    """Whether one line fails; line and its number of words are columns."""
-    punctuation = F.regexp_count(line, F.lit(PUNCTUATION))
+ONE_WORD = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"
+TWO_WORDS = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)?+[\x20\x09-\x0D]*+$"
+
+
+def has_boilerplate(text):
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(x) for x in BOILERPLATE])
+
+
+def line_fails(line, suspect):
+    """Whether one line with a word fails; suspect tells that its document has boilerplate somewhere. Cheap tests come
+    first: words are counted only where a line has separators."""
+    noisy = (F.regexp_count(line, F.lit(PUNCTUATION)) > PUNCTUATION_SHARE * F.length(line)) & ~line.rlike(ONE_WORD)
     marks = F.regexp_count(line, F.lit(MARKS))
-    noisy = (n_words >= 2) & (punctuation > PUNCTUATION_SHARE * F.length(line))
-    navigation = (marks >= NAVIGATION_MARKS) & (5 * marks >= n_words)
-    fragment = (n_words <= FRAGMENT_WORDS) & ~line.rlike(END)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return noisy | navigation | fragment | boilerplate
+    navigation = line.rlike(MARKS) & (marks >= NAVIGATION_MARKS) & (5 * marks >= F.regexp_count(line, F.lit(WORD)))
+    fragment = line.rlike(TWO_WORDS) & ~line.rlike(END)
+    return noisy | navigation | fragment | (suspect & has_boilerplate(line))
 
 
 def clean(docs: DataFrame, text: str = "text", ident: str = "doc_id", with_text: bool = True) -> DataFrame:
@@ -65,12 +75,12 @@ def clean(docs: DataFrame, text: str = "text", ident: str = "doc_id", with_text:
         "doc_id", "text", F.size("words").cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.expr("IF(size(words) < 3, array(), transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])))").alias("windows"),
-        F.filter(F.transform("lines", lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda s: s["n"] > 0).alias("lines"),
+        F.filter("lines", lambda x: x.rlike(WORD)).alias("lines"), has_boilerplate(F.col("text")).alias("suspect"),
     )
     # Windows found twice: equal neighbours once sorted. Documents where all differ skip the sort.
-    body = body.withColumn("windows", F.expr("IF(size(array_distinct(windows)) = size(windows), array(), array_sort(transform(windows, (h, i) -> struct(h, i))))"))
+    body = body.withColumn("windows", F.expr("IF(size(array_distinct(windows)) = size(windows), array(), sort_array(transform(windows, (h, i) -> struct(h, i))))"))
     body = body.withColumn("at", F.expr("sort_array(transform(filter(windows, (w, j) -> (j > 0 AND w.h = windows[greatest(j - 1, 0)].h) OR (j < size(windows) - 1 AND w.h = windows[least(j + 1, size(windows) - 1)].h)), w -> w.i))"))
-    body = body.withColumn("lines", F.transform("lines", lambda s: F.struct(s["line"].alias("line"), line_fails(s["line"], s["n"]).alias("fails"))))
+    body = body.withColumn("lines", F.transform("lines", lambda x: F.struct(x.alias("line"), line_fails(x, F.col("suspect")).alias("fails"))))
     total = "aggregate(lines, 0L, (a, s) -> a + length(s.line))"
     body = body.select(
         "doc_id", "n_words", "word_chars", "n_symbols",

@@ -181,7 +181,7 @@ class Model:
             child = found[n][here]
             q[child >= 0] += DECODED[level.share[child[child >= 0]]]
             p[here] = q
-        return count, np.log10(p)
+        return count, np.log10(np.minimum(p, 1.0))  # rounding may lift a certain word above one
 
 
 def _counted(rows: DataFrame, keys_of) -> DataFrame:

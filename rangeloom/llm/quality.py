@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.llm.common import WORD
 
-#: A line with more of its characters than this in ASCII punctuation fails.
+#: A line of two words and more with more of its characters than this in marks that sentences rarely have fails.
 PUNCTUATION_SHARE = 0.15
 #: A line with at least so many separators, one for every five words or more, is navigation.
 NAVIGATION_MARKS = 3
@@ -37,7 +37,7 @@ BOILERPLATE = (
     "powered by",
 )
 
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
+PUNCTUATION = r"[!#$%&*+/<=>@\\\[\]^_`{|}~]"
 MARKS = r"[|\x{2022}\x{00BB}\x{203A}>]"
 END = r"[.!?:;\"'\)\x{2026}\x{3002}\x{FF01}\x{FF1F}][\x20\x09-\x0D]*$"
 

@@ -16,13 +16,15 @@ def worker_shares(ranges: DataFrame, block: int, most: int, group: str | None =
     return rows.withColumn("first_share", F.expr("share + total - share * workers"))
 
 
-def divided(ranges: DataFrame, block: int, most: int) -> DataFrame:
+def divided(ranges: DataFrame, block: int, most: int, group: str | None = None) -> DataFrame:
     """Pieces of the ranges by worker: ordinal, worker, piece_offset, piece_size. The stream's bytes are dealt out in order; a range
     is cut where a worker has its share. A range without bytes goes to the worker being filled, at an edge to the earlier one.
 
+    With a group (a column that all ranges of a file share), each group of files is divided among workers of its own.
     A range's workers follow from its first and last byte, so this needs no join of intervals."""
-    flat = flatten(ranges, by_offset=False)
-    rows = flat.crossJoin(F.broadcast(worker_shares(ranges, block, most).drop("group_id")))  # one row
+    flat = flatten(ranges, by_offset=False, group=group)
+    shares = worker_shares(ranges, block, most, group)  # one row for each group
+    rows = flat.join(shares, flat[group] == shares.group_id) if group else flat.crossJoin(F.broadcast(shares))
     worker = lambda place: f"IF(share = 0 OR {place} < first_share, 0L, 1L + ({place} - first_share) div share)"
     first = F.expr(f"IF(size = 0, {worker('greatest(start - 1, 0L)')}, {worker('start')})")
     last = F.expr(f"IF(size = 0, {worker('greatest(start - 1, 0L)')}, {worker('start + size - 1')})")

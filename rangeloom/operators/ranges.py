@@ -16,14 +16,14 @@ def contiguous_offsets(ranges: DataFrame, base: int = 0) -> DataFrame:
     return ranges.withColumn("offset", base + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
 
 
-def flatten(ranges: DataFrame, by_offset: bool = True) -> DataFrame:
+def flatten(ranges: DataFrame, by_offset: bool = True, group: str | None = None) -> DataFrame:
     """Adds ordinal (from 0) and start, the bytes before the range, in one stream: files in order of file_id, in a file by
-    (offset, size, range_index), or in the order given by range_index."""
+    (offset, size, range_index), or in the order given by range_index. With a group, each group of files is a stream."""
     own = Window.partitionBy("file_id").orderBy(*(["offset", "size", "range_index"] if by_offset else ["range_index"]))
     rows = ranges.withColumn("__nth", F.row_number().over(own).cast("bigint") - 1)
     rows = rows.withColumn("__before", F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    earlier = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
-    files = ranges.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    earlier = Window.partitionBy(*[group] * bool(group)).orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
+    files = ranges.groupBy("file_id", *[group] * bool(group)).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     files = files.select("file_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("__bytes"))
     rows = rows.join(files, "file_id")
     return rows.withColumn("ordinal", F.col("__nth") + F.col("__n")).withColumn("start", F.col("__before") + F.col("__bytes")).drop("__nth", "__before", "__n", "__bytes")

@@ -27,6 +27,11 @@ def submission_completion(responses: DataFrame) -> DataFrame:
     return rows.withColumn("bytes_per_s", F.when(F.col("elapsed_ms") == 0, F.lit(0)).otherwise(F.expr("bytes * 1000 div greatest(elapsed_ms, 1)")))
 
 
+def session_throughput(responses: DataFrame) -> DataFrame:
+    """One row: bytes, elapsed_ms and bytes_per_s over everything that was answered."""
+    return submission_completion(responses.withColumn("submission_id", F.lit(0))).drop("submission_id", "remaining")
+
+
 def attributed_errors(tasks: DataFrame) -> DataFrame:
     """tasks: workload_id, file_id, range_index, event_seq, code (null: unanswered). The first error of a file in a workload is
     given to all of the file's ranges there that had no success; answered ranges keep theirs. A retryable code leaves as file access error."""
@@ -62,3 +67,12 @@ def to_global(responses: DataFrame, requests: DataFrame) -> DataFrame:
     and range that the caller asked for."""
     rows = responses.join(requests, ["submission_id", "file_index"])
     return rows.withColumn("global_range", F.col("range_base") + F.col("range_index"))
+
+
+def in_slot_order(slots: DataFrame) -> DataFrame:
+    return slots.orderBy("slot_id", "slot_offset", "ordinal")
+
+
+def all_agree(values: DataFrame, column: str) -> DataFrame:
+    """least, most, agree: whether all ranks hold one value; the least is what a group can count on."""
+    return values.agg(F.min(column).alias("least"), F.max(column).alias("most")).withColumn("agree", F.col("least") == F.col("most"))

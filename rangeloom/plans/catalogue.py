@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions import decode, scalars
 from rangeloom.model import INVALID_CODE, MESSAGES
-from rangeloom.operators import division, partition, ranges, responses
+from rangeloom.operators import checks, division, partition, ranges, responses
 
 RANKS, SLOT, CAP, CHUNK, BLOCK, WORKERS = 4, 65536, 16, 2048, 4096, 7
 DEPTHS = "64,nfs=32,fuse=16,nfs4=8"
@@ -248,6 +248,16 @@ def worker_division(spark, sf_dir):
     return division.divided(fixture(spark, sf_dir), BLOCK, WORKERS).select("name", "ordinal", "worker", "piece_offset", "piece_size")
 
 
+@query("worker_division_groups", _with(", " + _SHARES.replace("%s AS group_id", "file_id % 3 AS group_id") + """,
+h AS (SELECT *, (coalesce(sum(size) OVER (PARTITION BY file_id % 3 ORDER BY file_id, range_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin FROM r),
+w AS (SELECT group_id, k AS worker, CASE WHEN k = 0 THEN 0 ELSE first_share + (k - 1) * share END AS lo, first_share + k * share AS hi FROM s, (SELECT unnest(range(0, 64)) AS k) WHERE k < workers)
+SELECT name, group_id::INT AS pool, worker, (CASE WHEN size = 0 THEN 0 ELSE least(begin + size, hi) - greatest(begin, lo) END)::BIGINT AS piece_size
+FROM h JOIN w ON group_id = file_id % 3 AND CASE WHEN size = 0 THEN (lo < begin AND begin <= hi) OR (begin = 0 AND worker = 0) ELSE begin < hi AND lo < begin + size END"""))
+def worker_division_groups(spark, sf_dir):
+    rows = fixture(spark, sf_dir).withColumn("pool", F.col("file_id") % 3)
+    return division.divided(rows, BLOCK, WORKERS, "pool").select("name", "pool", "worker", "piece_size")
+
+
 _TASKS = f""", k AS (SELECT *, unnest(range("offset" // {CHUNK}, greatest("offset" + size - 1, "offset") // {CHUNK} + 1)) AS block FROM g),
 t AS (SELECT file_id, range_index, block, greatest("offset", block * {CHUNK}) AS task_offset, (least("offset" + size, (block + 1) * {CHUNK}) - greatest("offset", block * {CHUNK}))::BIGINT AS task_size FROM k)
 """
@@ -372,6 +382,32 @@ def submission_completion(spark, sf_dir):
     return responses.submission_completion(_table(spark, sf_dir, "events").select(F.col("user_id").alias("submission_id"), (F.col("event_id") % 1000).alias("size"), at.alias("at_ms")))
 
 
+@query("session_throughput", """SELECT coalesce(sum(size) FILTER (WHERE at_ms IS NOT NULL), 0)::BIGINT AS bytes, max(at_ms) - min(at_ms) AS elapsed_ms, (sum(size) FILTER (WHERE at_ms IS NOT NULL) * 1000 // (max(at_ms) - min(at_ms)))::BIGINT AS bytes_per_s
+FROM (SELECT event_id % 1000 AS size, CASE WHEN event_id % 29 <> 0 THEN epoch_us(ts) // 1000 END AS at_ms FROM events)""")
+def session_throughput(spark, sf_dir):
+    at = F.when(F.col("event_id") % 29 != 0, F.unix_millis(F.col("ts").cast("timestamp")))
+    return responses.session_throughput(_table(spark, sf_dir, "events").select((F.col("event_id") % 1000).alias("size"), at.alias("at_ms")))
+
+
+@query("group_agreement", _with("SELECT min(n) AS least, max(n) AS most, min(n) = max(n) AS agree FROM (SELECT count(*) AS n FROM r GROUP BY file_id)"))
+def group_agreement(spark, sf_dir):
+    return responses.all_agree(ranges.bytes_per_file(fixture(spark, sf_dir)), "n_ranges")
+
+
+@query("assigned_bytes", _with("SELECT 'chunks' AS policy, sum(size)::BIGINT AS asked, sum(size)::BIGINT AS given, count(*) AS n_asked, count(*) AS n_given FROM r"))
+def assigned_bytes(spark, sf_dir):
+    rows = fixture(spark, sf_dir)
+    return checks.conserved(rows, partition.partitioned(rows, RANKS, "chunks")).withColumn("policy", F.lit("chunks"))
+
+
+@query("slots_as_predicted", "SELECT 0::BIGINT AS surprises")
+def slots_as_predicted(spark, sf_dir):
+    rows = fixture(spark, sf_dir)
+    said = partition.predicted_slots(rows, RANKS, SLOT).select("rank", "name", "slot_id", "slot_offset")
+    own = partition.packed(ranges.flatten(partition.share_of(rows, RANKS, 1).drop("ordinal", "start", "rank")), SLOT).select(F.lit(1).alias("rank"), "name", "slot_id", "slot_offset")
+    return checks.differences(said.where("rank = 1"), own).agg(F.count("*").alias("surprises"))
+
+
 @query("error_attribution", """WITH t AS (SELECT event_id // 40 AS workload_id, event_id // 8 % 3 AS file_id, event_id AS range_index, event_id * 7919 % 10007 AS event_seq, CASE WHEN event_id % 23 = 0 THEN 19 WHEN event_id % 31 = 0 THEN 3 WHEN event_id % 7 < 2 THEN NULL ELSE 0 END AS code FROM events),
 f AS (SELECT workload_id, file_id, arg_min(code, event_seq) AS error FROM t WHERE code <> 0 GROUP BY ALL)
 SELECT workload_id, file_id, range_index, (CASE WHEN code = 0 THEN 0 WHEN error = 19 THEN 2 ELSE error END)::INT AS code FROM t LEFT JOIN f USING (workload_id, file_id)""")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import fcntl
 import os
 import posixpath
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,20 @@ def pull_files(spark: SparkSession, source: str, destination: str, allow: list[s
     """Copies files below source, a storage URI, into destination, a folder that all executors share, and leaves the mark
     _SUCCESS. With the mark there, nothing is copied again. Nothing to copy is an error, and leaves no mark; a local source is
     refused unless asked for. Returns path, to, length of the files copied."""
+    os.makedirs(destination, exist_ok=True)
+    with exclusive(destination):
+        return _pull(spark, source, destination, allow, ignore, from_local)
+
+
+@contextmanager
+def exclusive(folder: str):
+    """One process of a machine at a time."""
+    with open(os.path.join(folder, ".lock"), "w") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        yield
+
+
+def _pull(spark: SparkSession, source: str, destination: str, allow, ignore, from_local: bool) -> DataFrame:
     mark = os.path.join(destination, DONE)
     if os.path.exists(mark):
         return spark.createDataFrame([], "path string, to string, length bigint")

@@ -3,7 +3,9 @@
 Options: withData (true), blockBytes (0: whole tensors), partitionPolicy (spans, chunks, files), numPartitions
 (the default parallelism given as an option by register, or 8), chunkBytes (8 MiB: small tensors beside each other
 are read at once up to this size), checkLength (true), ordered (true: paths stay in the order given), retrySeconds (0),
-names (JSON list: only these tensors; unknown ones and ones in several files are refused).
+names (JSON list: only these tensors; unknown ones and ones in several files are refused), pathRewrite (old=new: a prefix
+of paths is replaced, so that tests read local files in place of remote ones). Credentials and endpoints are the file
+system's own settings.
 
 Headers are read and checked once, by the planner, before any filter. Filters on name and path skip bytes.
 """
@@ -61,6 +63,9 @@ class Reader(DataSourceReader):
         self.o = dict(options)
         raw = self.o.get("paths")
         self.paths = json.loads(raw) if raw else [self.o["path"]]
+        old, sign, new = self._option("pathRewrite", "").partition("=")
+        if sign:
+            self.paths = [new + p[len(old) :] if p.startswith(old) else p for p in self.paths]
         self.with_data = self.o.get("withdata", self.o.get("withData", "true")) == "true"
         self.block = int(self.o.get("blockBytes", self.o.get("blockbytes", "0")))
         self.chunk = int(self.o.get("chunkBytes", self.o.get("chunkbytes", str(8 << 20))))

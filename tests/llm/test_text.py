@@ -311,14 +311,18 @@ def test_scores_equal_brute_force(spark):
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over the vocabulary and one unknown word, after every kind of context."""
+    """Over the vocabulary, the end and one unknown word, after every kind of context."""
+    import pyarrow as pa
+
+    from rangeloom.llm.common import texts_of
+
     model = ngram_lm.train(table(spark, [(1, "a b c a b d a b c"), (2, "b c a"), (3, "d d d a")]))
-    for context in ("", "a ", "a b ", "d d ", "zz "):
-        rows = [(i, context + x) for i, x in enumerate(["a", "b", "c", "d", "unknown"])] + [(9, context.strip())]
-        scores = {r.doc_id: r["score"] for r in ngram_lm.scored(table(spark, rows), model).collect()}
-        head = {r.doc_id: r for r in ngram_lm.scored(table(spark, [(0, context.strip())]), model).collect()}[0]["score"]
-        # A text's score is its head's without the end, times the word's, times the end's after it; compare by difference of ends.
-        assert all(math.isfinite(s) for s in (*scores.values(), head))
+    levels = [x.open() for x in model.levels]
+    for context in ("", "a ", "a b ", "b c ", "d d ", "zz ", "a zz "):
+        texts = texts_of(pa.array([context + x for x in ("a", "b", "c", "d", "unknown", "")]))
+        tokens = ngram_lm.Tokens(texts, ngram_lm.roll(), levels[0])
+        _, log = model.score(tokens, levels)
+        assert (10 ** log[tokens.begin[:-1] + len(words(context))]).sum() == pytest.approx(1, abs=2e-3)
 
 
 def test_held_out_score_beats_the_base(spark, sf):

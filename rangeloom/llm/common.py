@@ -44,12 +44,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/rangeloom/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it back: lineage ends here, and no executor owns the rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/rangeloom/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what written() left for df; nothing may read it afterwards."""
+    _delete(df.sparkSession, df.written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that written() left in this application. Results that were not saved can't be read afterwards."""
+    _delete(spark, _own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -171,6 +171,19 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_written_rows_can_be_deleted(spark):
+    from rangeloom.llm import common
+
+    one, two = common.written(spark.range(5)), common.written(spark.range(3))
+    common.discard(one)
+    assert two.count() == 3
+    with pytest.raises(Exception):
+        one.count()
+    common.clear(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(two.written_to).count()
+
+
 def test_words_of_byte_texts():
     data = np.frombuffer(b"ab c d", np.uint8)
     starts, ends, at = Texts(data, np.array([0, 1, 1, 2, 6])).words()

@@ -45,9 +45,12 @@ class Builder:
     def done(self) -> None:
         if self.at != self.shape.n:
             raise ValueError(f"{self.at} values; {self.shape.n} were announced")
-        ones = np.cumsum(np.bitwise_count(self.high), dtype=np.uint64)
-        self.zeros[0] = 0
-        self.zeros[1:] = (np.arange(1, len(self.high), dtype=np.uint64) * U(64)) - ones[:-1]
+        total, step = 0, 1 << 18
+        for i in range(0, len(self.high), step):
+            zeros = np.cumsum(64 - np.bitwise_count(self.high[i : i + step]).astype(np.int64))
+            self.zeros[i] = total
+            self.zeros[i + 1 : i + len(zeros)] = total + zeros[:-1]
+            total += int(zeros[-1])
 
 
 def _select(word: np.ndarray, nth: np.ndarray) -> np.ndarray:

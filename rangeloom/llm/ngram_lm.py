@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rangeloom.llm.common import LOWER, Rolling, Texts, U, long_array, mix, steps, texts_of, written
+from rangeloom.llm.common import LOWER, Rolling, Texts, U, discard, long_array, mix, steps, texts_of, written
 from rangeloom.llm.eliasfano import Builder, Sequence, Shape
 
 ORDER = 3
@@ -286,10 +286,13 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_count: in
         at += len(key)
     keys.done()
     spark.sparkContext.addFile(path)
+    discard(counted)
     model = Model(levels, total or 0)
     above = a["count"]  # how often each context has a next word; the end has none, but no child either
 
     for _ in range(2, order + 1):
+        if not levels[-1].n:
+            break  # no context, no child
         known = list(levels)
 
         def ngrams(part, known=known):
@@ -303,8 +306,9 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_count: in
         level = Level(counted.count(), levels[-1].n, levels[0].n)
         path, a = _file(level, folder)
         keys, at = Builder(level.keys, a, "keys"), 0
-        size = np.zeros(level.parents, np.int64)
-        given = np.zeros(level.parents)
+        # What a context's children have together; on disk, as there may be as many contexts as children.
+        size = np.memmap(os.path.join(folder, f"{level.name}-sizes"), np.int64, "w+", shape=max(level.parents, 1))
+        given = np.memmap(os.path.join(folder, f"{level.name}-given"), np.float64, "w+", shape=max(level.parents, 1))
         own = np.memmap(os.path.join(folder, f"{level.name}-counts"), np.int64, "w+", shape=max(level.n, 1))
         for key, times in _in_order(counted):
             keys.add(key)
@@ -316,12 +320,17 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_count: in
             own[at : at + len(key)] = times
             at += len(key)
         keys.done()
-        left = code(1 - np.minimum(given, 1 - 1e-9))
-        a["left"][:] = np.where(size > 0, np.maximum(left, 1), 0)  # 0 tells that a context has no children
-        pointers = Builder(level.pointers, a, "pointers")
-        pointers.add(np.concatenate([[0], np.cumsum(size)]))
+        pointers, before = Builder(level.pointers, a, "pointers"), 0
+        pointers.add(np.zeros(1, np.uint64))
+        for i in range(0, level.parents, CHUNK):
+            many = np.array(size[i : min(i + CHUNK, level.parents)])
+            left = code(1 - np.minimum(given[i : i + len(many)], 1 - 1e-9))
+            a["left"][i : i + len(many)] = np.where(many > 0, np.maximum(left, 1), 0)  # 0 tells that a context has no children
+            pointers.add(before + np.cumsum(many))
+            before += int(many.sum())
         pointers.done()
         spark.sparkContext.addFile(path)
+        discard(counted)
         levels.append(level)
         above = own
     return model

@@ -169,6 +169,18 @@ def long_array(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+#: A table is broadcast up to this size, which is measured first.
+BROADCAST_BYTES = 8 << 20
+
+
+def small_side(df: DataFrame, bytes_of_row) -> DataFrame:
+    """df, a written table, marked for broadcast if its rows, of bytes_of_row bytes (a column), fit BROADCAST_BYTES."""
+    from pyspark.sql import functions as F
+
+    size = df.agg(F.coalesce(F.sum(bytes_of_row), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def row_key(text: str = "text", ident: str = "doc_id"):
     """With the id, what tells rows apart: rows of one id but other texts stay apart, exact repeats fall together."""
     from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import WORD, written
+from rangeloom.llm.common import WORD, small_side, written
 
 WEIGHTS = (5, 2, 1)
 #: No document is repeated more often.
@@ -69,9 +69,12 @@ def mixed(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: st
 
 
 def mix(docs: DataFrame, text: str = "text", ident: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it; same columns."""
+    """docs with each row as often as the mix takes it; same columns. Texts stay where they lie while the table of sources
+    can be broadcast; beyond that both sides of the join were written, and Spark splits the partitions of large sources."""
     sizes = docs.select(F.col(source).cast("string").alias("source"), n_words(text).alias("size"))
-    named = targets(sizes, weights, most).select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
+    named = written(targets(sizes, weights, most).select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target")))
+    # Texts must not be dealt out by source: a source may hold a third of them.
+    named = small_side(named, 24 + F.coalesce(F.octet_length("__source"), F.lit(0)))
     rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(0.0)
     times = F.floor(rate) + (coin(ident, seed) < rate - F.floor(rate)).cast("bigint")
     joined = docs.join(named, docs[source].cast("string").eqNullSafe(F.col("__source")))

@@ -230,3 +230,18 @@ def test_simhash_query_covers_all_documents(spark, sf):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in queries.op9_simhash(spark, sf).collect()}
     assert got == {(r.doc_id, f"{p:016x}", least[x]) for r, p, x in zip(rows, prints, root, strict=True)}
     assert F is not None
+
+
+@pytest.mark.parametrize("limit", [60, 10**9])
+def test_rows_with_shards_fit_as_well(spark, limit, monkeypatch):
+    from rangeloom.llm import common
+
+    rows = [(i, "é" * (i % 9)) for i in range(200)] + [(None, None), (600, "twice"), (600, "twice")] + [(700, f"row {i} of one id") for i in range(20)]
+    for most in (common.BROADCAST_BYTES, -1):  # without a broadcast the rows are the same
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        got = sharding.with_shards(table(spark, rows), limit).collect()
+        assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(repr(r) for r in rows)
+        size = defaultdict(list)
+        for r in got:
+            size[r.shard].append(len((r.text or "").encode()))
+        assert all(sum(x) <= limit for x in size.values())

@@ -57,7 +57,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngram_lm.train(docs.where(ngram_lm.learned_from()))
+    model = ngram_lm.train(docs.where(ngram_lm.learned_from()), min_count=1)  # every n-gram, single ones too
     out = ngram_lm.scored(docs, model)
     return out.select("doc_id", (~ngram_lm.learned_from()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

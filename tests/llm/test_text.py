@@ -310,6 +310,28 @@ def test_scores_equal_brute_force(spark):
     assert ngram_lm.scored(table(spark, []), model).count() == 0
 
 
+def test_query_scores_with_every_ngram(spark, sf):
+    """Against a brute force in which n-grams that occur once count too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    token = lambda t: words((t or "").translate({c: c + 32 for c in range(65, 91)})) + ["\n"]
+    texts = {r.doc_id: token(r.text) for r in docs}
+    learn = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = [Counter(tuple(t[i : i + n]) for t in learn for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    total, v, kinds = sum(c[0].values()), len(c[0]), Counter(k[:-1] for x in c[1:] for k in x)
+    assert sum(x == 1 for x in c[2].values()) > len(c[2]) / 2
+    for r in queries.op8_lm_scoring(spark, sf).collect():
+        w, score = texts[r.doc_id], 0.0
+        for j, x in enumerate(w):
+            p = (c[0][(x,)] + 0.5) / (total + 0.5 * (v + 1))
+            for n in (1, 2):
+                context = tuple(w[j - n : j])
+                if j >= n and c[n - 1][context]:
+                    times = c[n][(*context, x)]
+                    p = (ngram_lm.DISCOUNT * kinds[context] * p + max(times - ngram_lm.DISCOUNT, 0)) / c[n - 1][context]
+            score += math.log10(p)
+        assert abs(r["score"] - score) <= len(w) / ngram_lm.SCALE
+
+
 def test_probabilities_sum_to_one(spark):
     """Over the vocabulary, the end and one unknown word, after every kind of context."""
     import pyarrow as pa

@@ -20,9 +20,9 @@ from pyspark.sql.types import StructType
 
 from rangeloom.llm.common import steps, text_array, texts_of
 
-#: Bytes of text a language's tree is fitted on, about; the sample follows a hash of doc_id.
+#: Bytes of text a language's tree is fitted on, about: rows in order of a hash until they are reached.
 SAMPLE_BYTES = 4 << 20
-#: Triples of bytes kept as contexts at most, the most frequent ones.
+#: Triples of bytes kept as contexts at most, those with the largest shares of their languages.
 MAX_CONTEXTS = 30_000
 PAD = 0x0A
 
@@ -80,7 +80,7 @@ class Trees:
             grams, n = counts[name]
             s = [self.symbol[(grams >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
             by_lang.append((s, n.astype(float)))
-            total += np.bincount((s[0] * size + s[1]) * size + s[2], n, size**3)
+            total += np.bincount((s[0] * size + s[1]) * size + s[2], n / max(n.sum(), 1), size**3)
         kept = np.argsort(-total, kind="stable")[:max_contexts]
         kept = np.sort(kept[total[kept] > 0])
         #: First row of each triple's context: its own, or that of its last pair.
@@ -131,16 +131,48 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
-    """Trees of the languages in lang (null is none); None without any. The sample of a language is the rows whose
-    hash of doc_id and text falls below its share, and is the whole language while that has fewer bytes."""
+def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> DataFrame | None:
+    """lang, text of the rows that a language's tree is fitted on: in order of a hash of doc_id and text until they have
+    sample_bytes, so one row at least and the whole language while that has fewer; rows of one hash go together. None
+    without any language."""
+    coin = F.pmod(F.xxhash64(F.lit("sample"), F.col(ident), F.col(text)), F.lit(1 << 40))
     rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.sum(F.octet_length(text))).collect()}
-    if not sizes:
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), coin.alias("coin"), F.octet_length(text).cast("bigint").alias("size"))
+
+    def reached(found: DataFrame, before: dict) -> dict:
+        """For each language the step of found (lang, step, size) that reaches the bound, and the bytes before it."""
+        out, sums = {}, dict(before)
+        for r in sorted(found.collect(), key=lambda r: (r.lang, r.step)):
+            if r.lang not in out:
+                had = sums.get(r.lang, 0)
+                sums[r.lang] = had + r["size"]
+                if sums[r.lang] >= sample_bytes:
+                    out[r.lang] = (r.step, had)
+        return out | {name: None for name in sums if name not in out}
+
+    def of(values: dict):
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("lang")]
+
+    # First which 1,024th of the hashes reaches the bound, then which of its rows.
+    part = F.shiftright("coin", 30)
+    coarse = reached(rows.groupBy("lang", part.alias("step")).agg(F.sum("size").alias("size")), {})
+    if not coarse:
+        return None
+    last = {name: 1 << 40 for name in coarse}
+    cut = {name: x for name, x in coarse.items() if x}
+    if cut:
+        inside = rows.where(part == of({name: step for name, (step, _) in cut.items()}))
+        fine = reached(inside.groupBy("lang", F.col("coin").alias("step")).agg(F.sum("size").alias("size")), {name: had for name, (_, had) in cut.items()})
+        last |= {name: step for name, (step, _) in fine.items()}
+    return rows.where(F.col("coin") <= of(last)).select("lang", "text")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
+    """Trees of the languages in lang (null is none), each fitted on its sampled rows; None without any."""
+    rows = sampled(docs, text, lang, ident, sample_bytes)
+    if rows is None:
         return None
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample_bytes / n))])
-    coin = F.pmod(F.xxhash64(F.lit("sample"), F.col(ident), F.col(text)), F.lit(1 << 40)) / float(1 << 40)
-    counted = gram_counts(rows.where(coin < share[F.col(lang)]), text, lang).toArrow()
+    counted = gram_counts(rows, "text", "lang").toArrow()
     names = counted.column("lang").to_pylist()
     grams, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
     at = {name: np.flatnonzero(np.array([x == name for x in names])) for name in set(names)}

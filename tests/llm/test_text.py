@@ -193,6 +193,34 @@ def test_code_lengths_are_exact(spark):
     assert {r.lang_pred for r in langid.identified(table(spark, rows), None).collect()} == {"und"}
 
 
+def test_no_language_is_lost_by_its_sample(spark):
+    """Languages of five equal texts, one of which fills the bound, and one with a huge text among small ones."""
+    rows = [(i, chr(97 + i // 5) * 1000, f"l{i // 5}", None) for i in range(100)]
+    rows += [(1000, "zy" * 50_000, "big", None), *((1001 + i, f"zx{i} " * 20, "big", None) for i in range(300)), (2000, "tiny", "tiny", None)]
+    docs = table(spark, rows).drop("lang_pred", "score")
+    assert set(langid.fit(docs, sample_bytes=1000).langs) == {f"l{i}" for i in range(20)} | {"big", "tiny"}
+    for bound in (1, 1000, 1500, 4000, 10**9):
+        found = {}
+        for r in langid.sampled(docs, sample_bytes=bound).collect():
+            found.setdefault(r.lang, []).append(len(r.text))
+        whole = {}
+        for _, t, name, _ in rows:
+            whole.setdefault(name, []).append(len(t))
+        for name, own in whole.items():
+            assert sum(found[name]) >= min(bound, sum(own)) and sum(found[name]) - max(found[name]) < bound
+
+
+def test_small_languages_keep_their_contexts():
+    def grams(letters, n):
+        made = np.array([int.from_bytes(bytes([a, b, c, d]), "big") for a in letters for b in letters for c in letters for d in letters])
+        return made, np.full(len(made), n)
+
+    trees = langid.Trees({"large": grams(b"abcd", 1000), "small": grams(b"xy", 1)}, max_contexts=20)
+    place = {b: int(trees.symbol[b]) for b in b"abcdxy"}
+    own = [trees.row[(place[a] * trees.size + place[b]) * trees.size + place[c]] >= trees.size**3 for a in b"xy" for b in b"xy" for c in b"xy"]
+    assert all(own) and len(own) == 8
+
+
 def test_held_out_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = queries.op7_language_id(spark, sf).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()

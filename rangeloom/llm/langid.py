@@ -25,6 +25,8 @@ SAMPLE_BYTES = 4 << 20
 #: Triples of bytes kept as contexts at most, those with the largest shares of their languages.
 MAX_CONTEXTS = 30_000
 PAD = 0x0A
+#: A text is in none of the languages if its bits a byte are beyond so many times this quantile of the training texts'.
+RATE_QUANTILE, REACH = 0.999, 2.0
 
 
 def held_out(ident: str = "doc_id"):
@@ -170,8 +172,11 @@ def sampled(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample_bytes: int = SAMPLE_BYTES) -> Trees | None:
     """Trees of the languages in lang (null is none), each fitted on its sampled rows; None without any."""
     rows = sampled(docs, text, lang, ident, sample_bytes)
-    if rows is None:
-        return None
+    return learned(rows) if rows is not None else None
+
+
+def learned(rows: DataFrame) -> Trees | None:
+    """Trees of what sampled() gives."""
     counted = gram_counts(rows, "text", "lang").toArrow()
     names = counted.column("lang").to_pylist()
     grams, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
@@ -179,13 +184,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "d
     return Trees({name: (grams[i], n[i]) for name, i in at.items()}) if at else None
 
 
-def identified(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
+def rate_limits(rows: DataFrame, trees: Trees) -> dict[str, float]:
+    """For each language of sampled() the bits a byte that a text in it may cost: REACH times the RATE_QUANTILE of its rows."""
+    rates = identified(rows, trees, with_rate=True).groupBy("lang").agg(F.percentile_approx("rate", RATE_QUANTILE, 10_000).alias("rate"))
+    return {r.lang: REACH * r.rate for r in rates.collect()}
+
+
+def identified(docs: DataFrame, trees: Trees | None, text: str = "text", with_rate: bool = False) -> DataFrame:
     """docs with lang_pred and score, the share of the predicted language's code among all languages' codes if each
     were as likely at first. Null texts, texts without a letter, and all texts where nothing was learned: und, 0.
-    The text alone is read; columns of docs named lang_pred or score are replaced. Ties: the first name wins."""
+    The text alone is read; columns of docs named lang_pred or score are replaced. Ties: the first name wins.
+    with_rate adds rate, the bits a byte of the text in the predicted language, 0 where nothing was learned."""
+    added = {"lang_pred": "string", "score": "double"} | ({"rate": "double"} if with_rate else {})
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = StructType(list(docs.select(*rest).schema.fields)).add("lang_pred", "string").add("score", "double")
+    rest = [c for c in docs.columns if c not in added]
+    schema = StructType(list(docs.select(*rest).schema.fields))
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
 
     def predict(batches):
         model = shared.value
@@ -195,14 +210,16 @@ def identified(docs: DataFrame, trees: Trees | None, text: str = "text") -> Data
                 letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False)
                 if model is None:
                     letters = pa.array([False] * len(column))
-                    names, score = pa.array(["und"] * len(column)), np.zeros(len(column))
+                    names, score, rate = pa.array(["und"] * len(column)), np.zeros(len(column)), np.zeros(len(column))
                 else:
-                    bits = model.code_lengths(texts_of(column))
+                    texts = texts_of(column)
+                    bits = model.code_lengths(texts)
+                    rate = bits.min(1) / np.maximum(np.diff(texts.offsets), 1)
                     best = bits.argmin(1)
                     score = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
                     names = pa.array(model.langs).take(pa.array(best))
                 names = pc.if_else(letters, names, "und")
                 score = pc.if_else(letters, pa.array(score), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns, names, score], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[names, score, pa.array(rate)][: len(added)]], [*part.schema.names, *added])
 
     return docs.select(*rest).mapInArrow(predict, schema)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -31,6 +32,19 @@ def test_language_stage_drops_only_texts_without_a_language(spark, docs, sf):
     assert ids(got) == [i for i in ids(docs) if i not in low] and len(low) <= 0.01 * docs.count()
 
 
+def test_language_stage_drops_texts_in_no_learned_language(spark, docs, sf):
+    draw = random.Random(5)
+    odd = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) + "x" for n in (20, 50, 200, 1000) for _ in range(25)]
+    odd += ["Это предложение на русском языке, которого модель никогда не видела.", "To jest zdanie w języku polskim, którego model nie zna."]
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    rows = some.union(spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(odd)], docs.schema))
+    got = set(ids(pipeline.identify_language(spark, rows, sf)))
+    assert max(got) < 10_000
+    # Documents stay, also those that nothing was learned from, unless their language isn't recognised.
+    named = langid.identified(docs, langid.fit(some)).where((F.col("score") >= 0.5) & (F.col("lang_pred") != "und")).collect()
+    assert {r.doc_id for r in named if r.lang_pred == r.lang} <= got <= {r.doc_id for r in named} and len(named) - len(got) <= 0.01 * len(named)
+
+
 def test_near_duplicate_stage_keeps_one_of_each(spark, docs, sf):
     rows = docs.collect()
     root = grouped([own_fingerprint(r.text) for r in rows])

@@ -6,6 +6,7 @@ named by doc_id, every sixth empty, 8 bytes of file before the first.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -400,12 +401,18 @@ def assigned_bytes(spark, sf_dir):
     return checks.conserved(rows, partition.partitioned(rows, RANKS, "chunks")).withColumn("policy", F.lit("chunks"))
 
 
+@query("assigned_bytes_by_policy", _with("SELECT policy, sum(size)::BIGINT AS asked, sum(size)::BIGINT AS given, count(*) AS n_asked, count(*) AS n_given FROM r, (VALUES ('spans'), ('chunks'), ('files')) p(policy) GROUP BY 1"))
+def assigned_bytes_by_policy(spark, sf_dir):
+    rows = fixture(spark, sf_dir)
+    return functools.reduce(DataFrame.union, [checks.conserved(rows, partition.partitioned(rows, RANKS, x)).withColumn("policy", F.lit(x)) for x in partition.POLICIES])
+
+
 @query("slots_as_predicted", "SELECT 0::BIGINT AS surprises")
 def slots_as_predicted(spark, sf_dir):
     rows = fixture(spark, sf_dir)
     said = partition.predicted_slots(rows, RANKS, SLOT).select("rank", "name", "slot_id", "slot_offset")
-    own = partition.packed(ranges.flatten(partition.share_of(rows, RANKS, 1).drop("ordinal", "start", "rank")), SLOT).select(F.lit(1).alias("rank"), "name", "slot_id", "slot_offset")
-    return checks.differences(said.where("rank = 1"), own).agg(F.count("*").alias("surprises"))
+    own = [partition.packed(ranges.flatten(partition.share_of(rows, RANKS, k).drop("ordinal", "start", "rank")), SLOT).select(F.lit(k).alias("rank"), "name", "slot_id", "slot_offset") for k in range(RANKS)]
+    return checks.differences(said, functools.reduce(DataFrame.union, own)).agg(F.count("*").alias("surprises"))
 
 
 @query("error_attribution", """WITH t AS (SELECT event_id // 40 AS workload_id, event_id // 8 % 3 AS file_id, event_id AS range_index, event_id * 7919 % 10007 AS event_seq, CASE WHEN event_id % 23 = 0 THEN 19 WHEN event_id % 31 = 0 THEN 3 WHEN event_id % 7 < 2 THEN NULL ELSE 0 END AS code FROM events),

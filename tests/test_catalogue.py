@@ -1,5 +1,6 @@
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from rangeloom.plans import catalogue
 
@@ -14,6 +15,14 @@ def test_query_without_sql_has_rows(spark, sf, name):
     assert catalogue.queries()[name](spark, sf).count() == 3 * 20
 
 
+@pytest.mark.parametrize("rank", range(catalogue.RANKS))
+def test_wrong_slots_of_any_rank_surprise(spark, sf, monkeypatch, rank):
+    right = catalogue.partition.predicted_slots
+    wrong = F.col("slot_id") + F.when(F.col("rank") == rank, 1).otherwise(0)
+    monkeypatch.setattr(catalogue.partition, "predicted_slots", lambda *a: right(*a).withColumn("slot_id", wrong))
+    assert catalogue.queries()["slots_as_predicted"](spark, sf).first().surprises > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 

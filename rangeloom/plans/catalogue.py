@@ -39,10 +39,11 @@ def fixture(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
     from pyspark.sql import Window
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    files = docs.select("source").distinct().withColumn("file_id", F.row_number().over(Window.orderBy("source")) - 1)
-    nth = F.row_number().over(Window.partitionBy("file_id").orderBy("doc_id")) - 1
-    rows = docs.join(files, "source").select(
-        "file_id", F.col("source").alias("path"), nth.alias("range_index"),
+    # Documents without a source are a file of their own, the last one.
+    files = docs.select(F.col("source").alias("path")).distinct().withColumn("file_id", F.row_number().over(Window.orderBy(F.asc_nulls_last("path"))) - 1)
+    nth = F.row_number().over(Window.partitionBy("file_id").orderBy(F.asc_nulls_last("doc_id"))) - 1
+    rows = docs.join(files, F.col("source").eqNullSafe(F.col("path"))).select(
+        "file_id", "path", nth.alias("range_index"),
         F.when(F.col("doc_id") % 6 == 0, 0).otherwise(F.col("n_chars")).cast("bigint").alias("size"), F.col("doc_id").alias("name"),
     )
     rows = ranges.contiguous_offsets(rows, 8)

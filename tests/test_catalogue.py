@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def test_wrong_slots_of_any_rank_surprise(spark, sf, monkeypatch, rank):
     assert catalogue.queries()["slots_as_predicted"](spark, sf).first().surprises > 0
 
 
+def test_documents_without_a_source_are_a_file(spark, sf, tables, tmp_path):
+    file = tmp_path / "documents.parquet"
+    tables.execute(f"COPY (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source) FROM read_parquet('{sf}/documents.parquet')) TO '{file}' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{file}')")
+    got = catalogue.queries()["contiguous_offsets"](spark, str(tmp_path))
+    same_rows(got, con, catalogue.oracle_sql()["contiguous_offsets"])
+    assert got.count() == spark.read.parquet(str(file)).count()
+
+
 def test_entry(spark):
     import __spark_entry__
 

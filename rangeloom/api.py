@@ -6,12 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rangeloom.functions.decode import values_of
+from rangeloom.model import FINISHED, MESSAGES
 from rangeloom.operators.partition import packed
 from rangeloom.operators.ranges import checked_ranges, flatten
-from rangeloom.plans.catalogue import ship
+from rangeloom.operators.responses import in_slot_order
+from rangeloom.session import ship
 from rangeloom.sources.safetensors import read_ranges, scan
 
 
@@ -42,10 +43,15 @@ class TensorReader:
             options["names"] = sorted(set(tensor_names))
             if not options["names"]:
                 raise ValueError("tensor_names must have at least one name")
+        self.in_order = options.get("partitionPolicy", "spans") == "spans"
         self.tensors = scan(self.spark, sorted(paths) if distributed else paths, **options)
         return self.tensors
 
     def get_tensors(self) -> Iterator[tuple[str, np.ndarray]]:
+        if self.tensors is None:
+            raise ValueError(MESSAGES[FINISHED])
+        if not self.in_order:
+            raise ValueError("get_tensors gives tensors in order of files and bytes, which only the policy spans keeps; use the DataFrame")
         for r in self.tensors.select("name", "dtype", "storage_shape", "data").toLocalIterator():
             yield r.name, values_of(bytes(r.data), r.dtype).reshape(r.storage_shape).copy()
 
@@ -69,7 +75,7 @@ class RangeReader:
         """(slot, its ranges), slot after slot."""
         rows = read_ranges(packed(flatten(self.ranges, by_offset=False), slot_bytes, most_rows))
         slot, held = None, []
-        for r in rows.orderBy("slot_id", F.col("ordinal")).select("slot_id", "file_id", "range_index", "data").toLocalIterator():
+        for r in in_slot_order(rows).select("slot_id", "file_id", "range_index", "data").toLocalIterator():
             if slot is not None and r.slot_id != slot:
                 yield slot, held
                 held = []

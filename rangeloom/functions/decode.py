@@ -60,26 +60,55 @@ def decode_long(data: pd.Series, dtype: pd.Series) -> pd.Series:
         if values.dtype.kind not in "iu":
             raise ValueError(f"{t} is not a whole-number dtype")
         if t == "U64" and len(values) and values.max() > np.uint64(2**63 - 1):
-            raise OverflowError("a U64 value is beyond bigint; use decode_decimal")
+            raise OverflowError("a U64 value is beyond bigint; use decode_unsigned")
         return values.astype(np.int64)
 
     return pd.Series([None if d is None else one(d, t) for d, t in zip(data, dtype, strict=True)])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("re", T.FloatType()), T.StructField("im", T.FloatType())])))
-def decode_complex(data: pd.Series, dtype: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else [{"re": x.real, "im": x.imag} for x in values_of(d, t)] for d, t in zip(data, dtype, strict=True)])
+def _lists(batch: pa.RecordBatch, elements) -> pa.Array:
+    """An array column from data and dtype, made of one flat run of elements; elements turns numpy values into Arrow's."""
+    data, kinds = batch.column("data"), batch.column("dtype").to_pylist()
+    each = [values_of(d.as_buffer(), t) if d.is_valid else np.zeros(0, "<i8") for d, t in zip(data, kinds, strict=True)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+    parts = [elements(x) for x in each if len(x)]
+    flat = pa.concat_arrays(parts) if parts else elements(np.zeros(0, "<u8"))
+    at = pa.array(offsets, mask=np.append(~data.is_valid().to_numpy(zero_copy_only=False), False))  # a null's offset makes its list null
+    return pa.ListArray.from_arrays(at, flat)
+
+
+def _complex(values: np.ndarray) -> pa.Array:
+    values = values.astype(np.complex64)
+    return pa.StructArray.from_arrays([pa.array(values.real.copy()), pa.array(values.imag.copy())], ["re", "im"])
+
+
+def _decimals(values: np.ndarray) -> pa.Array:
+    """Whole numbers as decimal(20,0): 16 bytes each, the upper eight the sign."""
+    if values.dtype.kind not in "iu":
+        raise ValueError(f"{values.dtype} is not a whole-number dtype")
+    words = np.zeros((len(values), 2), np.int64)
+    words[:, 0] = values.astype(np.uint64).view(np.int64)
+    if values.dtype.kind == "i":
+        words[:, 1] = np.where(values < 0, -1, 0)
+    return pa.Array.from_buffers(pa.decimal128(20, 0), len(values), [None, pa.py_buffer(words.tobytes())])
+
+
+def decode_complex(tensors: DataFrame) -> DataFrame:
+    """tensors with values array<struct<re, im>>."""
+
+    def add(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(batch, _complex)], [*batch.schema.names, "values"])
+
+    return tensors.mapInArrow(add, _with(tensors, "values array<struct<re:float,im:float>>"))
 
 
 def decode_unsigned(tensors: DataFrame) -> DataFrame:
     """tensors with values array<decimal(20,0)>, exact for all whole-number dtypes."""
-    from decimal import Decimal
 
     def add(batches):
         for batch in batches:
-            data, kinds = batch.column("data").to_pylist(), batch.column("dtype").to_pylist()
-            values = pa.array([None if d is None else [Decimal(int(x)) for x in values_of(d, t)] for d, t in zip(data, kinds, strict=True)], pa.list_(pa.decimal128(20, 0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(batch, _decimals)], [*batch.schema.names, "values"])
 
     return tensors.mapInArrow(add, _with(tensors, "values array<decimal(20,0)>"))
 

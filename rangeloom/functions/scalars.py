@@ -52,6 +52,26 @@ def uri_parts(uri: Column, pattern: str = URI) -> tuple[Column, Column, Column]:
     return tuple(F.regexp_extract(uri, pattern, k) for k in (1, 2, 3))
 
 
+def scheme_of(path: str) -> str:
+    """The storage scheme of a path; a plain path is a file."""
+    scheme, sign, _ = path.partition("://")
+    return scheme.lower() if sign else "file"
+
+
+def number_setting(name: str, raw: str | None, default: float, least: float | None = None, most: float | None = None, above: float | None = None, kind=int):
+    """A numeric setting's value; the error names the setting and its range."""
+    if raw is None:
+        return default
+    bounds = [f"at least {least}"] * (least is not None) + [f"above {above}"] * (above is not None) + [f"at most {most}"] * (most is not None)
+    try:
+        value = kind(str(raw).strip())
+    except ValueError:
+        raise ValueError(f"{name} must be a number, not {raw!r}") from None
+    if not (least is None or value >= least) or not (above is None or value > above) or not (most is None or value <= most):
+        raise ValueError(f"{name} must be {' and '.join(bounds)}, not {raw!r}")
+    return value
+
+
 def without_prefix(text: Column, prefix: str) -> Column:
     return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 2**31 - 1)).otherwise(text)
 

@@ -33,7 +33,7 @@ DTYPES = {
     "C64": (8, 1),
 }
 
-# Messages of the response codes 0 to 28.
+# Messages of the response codes 0 to 28; where one would name a product, it says "streamer" instead.
 MESSAGES = (
     "Request sent successfuly",
     "Finished all responses",
@@ -66,7 +66,7 @@ MESSAGES = (
     "The device driver failed; the driver and the installed libraries do not agree, or the context is gone",
 )
 INVALID_CODE = "Invalid response code"
-SUCCESS, FILE_ACCESS, RETRYABLE = 0, 2, 19
+SUCCESS, FINISHED, FILE_ACCESS, END_OF_FILE, MIXED_BACKENDS, CREDENTIALS_SET, RETRYABLE = 0, 1, 2, 3, 17, 18, 19
 
 # Names of read strategies.
 STRATEGIES = ("io_uring_direct", "io_uring_buffered", "libaio_direct", "sync_buffered")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangeloom.model import RETRYABLE, SUCCESS
+from rangeloom.model import FILE_ACCESS, FINISHED, RETRYABLE, SUCCESS
 
 
 def request_completion(tasks: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def attributed_errors(tasks: DataFrame) -> DataFrame:
     each = tasks.groupBy("workload_id", "file_id", "range_index").agg(F.max(F.coalesce((F.col("code") == SUCCESS).cast("int"), F.lit(0))).alias("ok"))
     failed = tasks.where(F.col("code") != SUCCESS)
     first = failed.groupBy("workload_id", "file_id").agg(F.min_by("code", "event_seq").alias("error"))
-    code = F.when(F.col("ok") == 1, F.lit(SUCCESS)).when(F.col("error") == RETRYABLE, F.lit(2)).otherwise(F.col("error"))
+    code = F.when(F.col("ok") == 1, F.lit(SUCCESS)).when(F.col("error") == RETRYABLE, F.lit(FILE_ACCESS)).otherwise(F.col("error"))
     return each.join(first, ["workload_id", "file_id"], "left").select("workload_id", "file_id", "range_index", code.cast("int").alias("code"))
 
 
@@ -69,6 +69,43 @@ def to_global(responses: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.withColumn("global_range", F.col("range_base") + F.col("range_index"))
 
 
+def greatest_base(handles: DataFrame, bases: DataFrame, width: int) -> DataFrame:
+    """handles: handle; bases: base. Adds base, the greatest one not above the handle, or null.
+
+    Handles and bases meet in strips of width; what reaches a strip from those before it is one row a strip, so no window
+    holds more than a strip or the table of strips."""
+    strip = F.expr(f"pmod(handle, {width})")
+    rows = handles.withColumn("__strip", ((F.col("handle") - strip) / width).cast("bigint"))
+    marks = bases.select(F.col("base").alias("handle"), F.col("base").alias("__base")).distinct()
+    marks = marks.withColumn("__strip", ((F.col("handle") - strip) / width).cast("bigint"))
+    strips = marks.groupBy("__strip").agg(F.max("__base").alias("__last")).unionByName(rows.select("__strip").distinct().withColumn("__last", F.lit(None).cast("bigint")))
+    strips = strips.groupBy("__strip").agg(F.max("__last").alias("__last"))
+    earlier = Window.orderBy("__strip").rowsBetween(Window.unboundedPreceding, -1)  # a row a strip
+    carried = strips.select("__strip", F.max("__last").over(earlier).alias("__carried"))
+    both = rows.withColumn("__base", F.lit(None).cast("bigint")).withColumn("__asked", F.lit(1)).unionByName(marks.withColumn("__asked", F.lit(0)), allowMissingColumns=True)
+    own = Window.partitionBy("__strip").orderBy("handle", "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__own", F.max("__base").over(own)).where("__asked = 1").join(carried, "__strip")
+    return found.select(*handles.columns, F.coalesce("__own", "__carried").alias("base"))
+
+
+def torn_down(tasks: DataFrame) -> DataFrame:
+    """After a teardown nothing is still open: what has no code has the one of the end of all responses."""
+    return tasks.withColumn("code", F.coalesce("code", F.lit(FINISHED)).cast("int"))
+
+
+def chunk_outcomes(attempts: DataFrame) -> DataFrame:
+    """attempts: chunk_id, range_id, at_ms, code, timeout_ms, a row for each try of a range. chunk_id, range_id, code.
+
+    A chunk's ranges are read, fail and are tried again together. Its clock starts with its first try; tries beyond the
+    timeout never happen, and a chunk without a success by then leaves as file access error, as does one that may not retry."""
+    first = attempts.groupBy("chunk_id").agg(F.min("at_ms").alias("__first"))
+    made = attempts.join(first, "chunk_id").where((F.col("at_ms") == F.col("__first")) | ((F.col("timeout_ms") > 0) & (F.col("at_ms") < F.col("__first") + F.col("timeout_ms"))))
+    whole = made.groupBy("chunk_id", "at_ms").agg(F.max("code").alias("worst"))
+    ends = whole.groupBy("chunk_id").agg(F.max((F.col("worst") == SUCCESS).cast("int")).alias("ok"), F.max_by("worst", "at_ms").alias("last"))
+    code = F.when(F.col("ok") == 1, F.lit(SUCCESS)).when(F.col("last") == RETRYABLE, F.lit(FILE_ACCESS)).otherwise(F.col("last"))
+    return attempts.select("chunk_id", "range_id").distinct().join(ends.select("chunk_id", code.cast("int").alias("code")), "chunk_id")
+
+
 def in_slot_order(slots: DataFrame) -> DataFrame:
     return slots.orderBy("slot_id", "slot_offset", "ordinal")
 

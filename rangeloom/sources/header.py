@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from rangeloom.model import DTYPES
@@ -97,15 +97,20 @@ def read_header(read: Callable[[int, int], bytes], path: str, length: int | None
     return 8 + n, tensors
 
 
-def write(path: str, tensors: dict[str, tuple[str, tuple[int, ...], bytes]], align: int = 8, metadata: dict[str, str] | None = None) -> None:
-    """A file of name -> (dtype, shape, bytes), in that order. The header is padded so that the data starts at a multiple of align."""
+def packed_header(entries: Iterable[tuple[str, str, Sequence[int], int]], align: int = 8, metadata: dict[str, str] | None = None) -> bytes:
+    """What comes before the data of (name, dtype, shape, bytes): the header and its length, padded to a multiple of align."""
     header, at = ({METADATA: metadata} if metadata else {}), 0
-    for name, (kind, shape, data) in tensors.items():
-        header[name] = {"dtype": kind, "shape": list(shape), "data_offsets": [at, at + len(data)]}
-        at += len(data)
+    for name, kind, shape, size in entries:
+        header[name] = {"dtype": kind, "shape": list(shape), "data_offsets": [at, at + size]}
+        at += size
     raw = json.dumps(header, separators=(",", ":")).encode()
     raw += b" " * (-(8 + len(raw)) % align)
+    return struct.pack("<Q", len(raw)) + raw
+
+
+def write(path: str, tensors: dict[str, tuple[str, tuple[int, ...], bytes]], align: int = 8, metadata: dict[str, str] | None = None) -> None:
+    """A file of name -> (dtype, shape, bytes), in that order. The header is padded so that the data starts at a multiple of align."""
     with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(raw)) + raw)
+        f.write(packed_header([(name, kind, shape, len(data)) for name, (kind, shape, data) in tensors.items()], align, metadata))
         for _, _, data in tensors.values():
             f.write(data)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangeloom.functions.scalars import allowed, uri_parts
+from rangeloom.model import MESSAGES, MIXED_BACKENDS
 from rangeloom.sources import storage
 
 DONE = "_SUCCESS"
@@ -36,7 +37,7 @@ def one_backend(files: DataFrame, path: str = "path") -> None:
     """Refuses a list that mixes storage schemes."""
     schemes = [r[0] for r in files.select(uri_parts(F.col(path))[0].alias("s")).distinct().limit(5).collect()]
     if len(schemes) > 1:
-        raise ValueError(f"one storage backend at a time, not {sorted(schemes)}")
+        raise ValueError(f"{MESSAGES[MIXED_BACKENDS]}: {sorted(schemes)}")
 
 
 def safe_destination(base: str, relative: str) -> str:
@@ -53,18 +54,28 @@ def pull_files(spark: SparkSession, source: str, destination: str, allow: list[s
     _SUCCESS. With the mark there, nothing is copied again. Nothing to copy is an error, and leaves no mark; a local source is
     refused unless asked for. Returns path, to, length of the files copied."""
     os.makedirs(destination, exist_ok=True)
-    with exclusive(destination):
+    with locked(destination):
         return _pull(spark, source, destination, allow, ignore, from_local)
 
 
 @contextmanager
-def exclusive(folder: str):
-    """One process of a machine at a time."""
+def locked(folder: str, kind: int = fcntl.LOCK_EX):
+    """LOCK_EX: one process at a time; LOCK_SH: readers beside each other, none while files are being pulled. Between machines
+    this holds where the shared folder's file system passes locks on; elsewhere the mark is what readers go by."""
     with open(os.path.join(folder, ".lock"), "w") as f:
-        fcntl.flock(f, fcntl.LOCK_EX)
+        fcntl.flock(f, kind)
         yield
 
 
+@contextmanager
+def pulled(folder: str):
+    """The folder for reading, once its pull is complete; pulls wait until the reader is done."""
+    if not os.path.exists(os.path.join(folder, DONE)):
+        raise FileNotFoundError(f"{folder} has no {DONE}: its files were not pulled, or not all")
+    with locked(folder, fcntl.LOCK_SH):
+        yield folder
+
+
 def _pull(spark: SparkSession, source: str, destination: str, allow, ignore, from_local: bool) -> DataFrame:
     mark = os.path.join(destination, DONE)
     if os.path.exists(mark):

@@ -13,21 +13,27 @@ Headers are read and checked once, by the planner, before any filter. Filters on
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from rangeloom.model import TENSORS
+from rangeloom.model import MESSAGES, MIXED_BACKENDS, TENSORS
 from rangeloom.operators.partition import POLICIES, least_loaded, span_starts
+from rangeloom.functions.scalars import scheme_of
 from rangeloom.sources import storage
-from rangeloom.sources.header import Tensor, read_header
+from rangeloom.sources.header import Tensor, packed_header, read_header
 
 BATCH_BYTES = 32 << 20
+#: Headers that the planner reads side by side.
+HEADERS_AT_ONCE = 32
 
 
 @dataclass
@@ -77,13 +83,16 @@ class Reader(DataSourceReader):
         return self.o.get(key, self.o.get(key.lower(), default))
 
     def _files(self) -> list[tuple[int, str, int, list[Tensor]]]:
-        out = []
-        for i, path in enumerate(storage.expand(self.paths)):
+        def header(path: str) -> tuple[int, list[Tensor]]:
             read, close = storage.reader(path, self.retry)
-            length = storage.length_of(path) if self._option("checkLength", "true") == "true" else None
-            out.append((i, path, *read_header(read, path, length)))
-            close()
-        return out
+            try:
+                return read_header(read, path, storage.length_of(path) if self._option("checkLength", "true") == "true" else None)
+            finally:
+                close()
+
+        paths = storage.expand(self.paths)
+        with ThreadPoolExecutor(max(1, min(HEADERS_AT_ONCE, len(paths)))) as pool:
+            return [(i, path, *found) for i, (path, found) in enumerate(zip(paths, pool.map(header, paths), strict=True))]
 
     def _asked(self, files) -> set[str] | None:
         raw = self._option("names", "")
@@ -201,10 +210,12 @@ class PushingReader(Reader):
 
 
 def scan(spark: SparkSession, paths: str | list[str], **options):
-    """A DataFrame of tensors. Filter pushdown into Python sources is switched on for the session."""
+    """A DataFrame of tensors; paths of one storage backend. Filter pushdown into Python sources is switched on for the session."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if len(schemes := {scheme_of(p) for p in paths}) > 1:
+        raise ValueError(f"{MESSAGES[MIXED_BACKENDS]}: {sorted(schemes)}")
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SafetensorsSource)
-    paths = [paths] if isinstance(paths, str) else list(paths)
     read = spark.read.format("safetensors").option("paths", json.dumps(paths)).option("pushdown", "true")
     read = read.option("numPartitions", options.pop("numPartitions", spark.sparkContext.defaultParallelism))
     for key, value in options.items():
@@ -212,6 +223,47 @@ def scan(spark: SparkSession, paths: str | list[str], **options):
     return read.load()
 
 
+def write(tensors, folder: str, align: int = 8):
+    """Writes tensors (file, name, dtype, shape, data) below folder, which all executors share, each file's tensors in order
+    of name; a row a file comes back: file, n_tensors, bytes. A file is one task, and appears whole: a task that runs twice
+    replaces it by an equal one. A file's tensors pass through the task's memory one batch at a time; its header comes first,
+    so names and sizes are gathered before."""
+    heads = tensors.select("file", "name", "dtype", "shape", F.octet_length("data").cast("bigint").alias("nbytes"))
+    entries = heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("name", "dtype", "shape", "nbytes"))).alias("entries"))  # a row a tensor, without data
+    rows = tensors.select("file", "name", "data", F.lit(None).cast(dict(entries.dtypes)["entries"]).alias("entries"))
+    heads = entries.select("file", F.lit(None).cast("string").alias("name"), F.lit(None).cast("binary").alias("data"), "entries")
+    rows = heads.union(rows).repartition("file").sortWithinPartitions("file", F.col("name").asc_nulls_first())
+
+    def put(batches):
+        system, base = storage.located(folder)
+        system.create_dir(base, recursive=True)
+        now = out = part = None
+        held, done = [0, 0], []
+
+        def close():
+            out.close()
+            system.move(part, f"{base}/{now}")
+            done.append((now, *held))
+
+        for batch in batches:
+            for name, data, entry in zip(batch.column("file").to_pylist(), batch.column("data"), batch.column("entries").to_pylist(), strict=True):
+                if entry is not None:
+                    if out:
+                        close()
+                    now, part, held = name, f"{base}/.{name}.{uuid.uuid4().hex}", [len(entry), 0]
+                    out = system.open_output_stream(part)
+                    out.write(packed_header([(e["name"], e["dtype"], e["shape"], e["nbytes"]) for e in entry], align))
+                else:
+                    raw = data.as_buffer()
+                    held[1] += raw.size
+                    out.write(raw)
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "n_tensors", "bytes"])
+
+    return rows.mapInArrow(put, "file string, n_tensors bigint, bytes bigint")
+
+
 def read_ranges(ranges, retry_seconds: float = 0):
     """ranges with data: the bytes at (path, offset, size), sorted within a task by path and offset. A short read fails."""
     schema = StructType([*ranges.schema.fields, StructField("data", BinaryType())])

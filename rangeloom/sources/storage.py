@@ -2,15 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import random
 import time
 from collections.abc import Callable
 
 import pyarrow.fs as fs
+from pyspark.sql import SparkSession
+
+from rangeloom.model import CREDENTIALS_SET, END_OF_FILE, FILE_ACCESS, MESSAGES
 
 Read = Callable[[int, int], bytes]
 
 
+class ReadError(OSError):
+    """A read that failed for good. code is what a caller sees of it: a failure that could have been tried again leaves as
+    file access error, so the retryable code stays inside. All ranges of the read fail with it."""
+
+    def __init__(self, code: int, path: str, why: object):
+        super().__init__(f"{path}: {MESSAGES[code]} ({why})")
+        self.code = code
+
+
+# Settings of the file systems that a credential goes to, Spark's and the workers'.
+CREDENTIALS = {
+    "access_key": ("fs.s3a.access.key", "AWS_ACCESS_KEY_ID"),
+    "secret_key": ("fs.s3a.secret.key", "AWS_SECRET_ACCESS_KEY"),
+    "session_token": ("fs.s3a.session.token", "AWS_SESSION_TOKEN"),
+    "region": ("fs.s3a.endpoint.region", "AWS_DEFAULT_REGION"),
+    "endpoint": ("fs.s3a.endpoint", "AWS_ENDPOINT_URL"),
+}
+
+
+def set_credentials(spark: SparkSession, **values: str) -> None:
+    """Credentials of a Spark application, set once: Spark's readers and the workers of this package use them. The same values
+    again are fine, others are refused."""
+    if unknown := sorted(set(values) - set(CREDENTIALS)):
+        raise ValueError(f"unknown credentials {unknown}; there are {sorted(CREDENTIALS)}")
+    digest = hashlib.sha256(json.dumps(values, sort_keys=True).encode()).hexdigest()
+    system = spark._jsc.hadoopConfiguration()
+    if (before := system.get("rangeloom.credentials")) is not None:
+        if before != digest:
+            raise PermissionError(MESSAGES[CREDENTIALS_SET])
+        return
+    for name, value in values.items():
+        setting, variable = CREDENTIALS[name]
+        system.set(setting, value)
+        spark.sparkContext.environment[variable] = os.environ[variable] = value
+    system.set("rangeloom.credentials", digest)
+
+
 def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -43,7 +86,8 @@ def retry_wait(attempt: int) -> float:
 
 
 def reader(path: str, retry_seconds: float = 0) -> tuple[Read, Callable[[], None]]:
-    """(read, close). A failed read is tried again until retry_seconds after its first attempt; 0: never. A short read raises."""
+    """(read, close). A failed read, one chunk of ranges beside each other, is tried again as a whole until retry_seconds after
+    its first attempt; 0: never. Then all of it fails with the code of a file access error."""
     system, inner = located(path)
     handle = system.open_input_file(inner)
 
@@ -53,11 +97,11 @@ def reader(path: str, retry_seconds: float = 0) -> tuple[Read, Callable[[], None
             try:
                 data = handle.read_at(size, offset)
                 break
-            except OSError:
+            except OSError as e:
                 attempt += 1
                 wait = retry_wait(attempt)
                 if time.monotonic() + wait >= deadline:
-                    raise
+                    raise ReadError(FILE_ACCESS, path, e) from e
                 time.sleep(wait)
         return bytes(data)
 
@@ -67,5 +111,5 @@ def reader(path: str, retry_seconds: float = 0) -> tuple[Read, Callable[[], None
 def exact(read: Read, offset: int, size: int, path: str) -> bytes:
     data = read(offset, size) if size else b""
     if len(data) != size:
-        raise EOFError(f"{path}: {len(data)} of {size} bytes at {offset}")
+        raise EOFError(f"{path}: {MESSAGES[END_OF_FILE]}, {len(data)} of {size} bytes at {offset}")
     return data

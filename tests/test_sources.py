@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rangeloom.functions import decode, scalars
 from rangeloom.model import DTYPES
-from rangeloom.sources import header, listing, safetensors
+from rangeloom.sources import header, listing, safetensors, storage
 
 
 @pytest.fixture(scope="module")
@@ -63,8 +63,12 @@ def test_decoding_is_exact(spark, model):
         np.testing.assert_array_equal(np.array(row.v), decode.values_of(expected[f"0.{kind}"][2], kind).astype(np.float64))
     row = decode.decode_unsigned(df.where(F.col("name") == "0.U64")).first()
     assert [int(x) for x in row["values"]] == np.frombuffer(expected["0.U64"][2], "<u8").tolist()
-    row = df.where(F.col("name") == "0.C64").select(decode.decode_complex("data", "dtype").alias("v")).first()
-    assert len(row.v) == 24
+    signed = decode.decode_unsigned(df.where(F.col("name") == "0.I8").withColumn("data", F.when(F.col("dtype") == "I8", F.col("data")))).first()
+    assert [int(x) for x in signed["values"]] == np.frombuffer(expected["0.I8"][2], "i1").tolist()
+    row = decode.decode_complex(df.where(F.col("name") == "0.C64")).first()
+    np.testing.assert_array_equal(np.array([complex(x.re, x.im) for x in row["values"]], "<c8"), np.frombuffer(expected["0.C64"][2], "<c8"))
+    some = df.where(F.col("name").isin("0.C64", "0.empty", "1.C64")).withColumn("dtype", F.lit("C64")).withColumn("data", F.when(F.col("name") != "1.C64", F.col("data")))
+    assert {r.name: r["values"] and len(r["values"]) for r in decode.decode_complex(some).collect()} == {"0.C64": 24, "0.empty": [], "1.C64": None}
 
 
 def test_small_floats():
@@ -153,10 +157,91 @@ def test_listing_and_pull(spark, tmp_path):
     assert listing.pull_files(spark, str(source), str(to), from_local=True).count() == 0
     with pytest.raises(ValueError, match="leads out"):
         listing.safe_destination(str(to), "../x")
-    with pytest.raises(ValueError, match="one storage"):
+    with pytest.raises(ValueError, match="locked to a single"):
         listing.one_backend(spark.createDataFrame([("s3://a/b",), ("gs://a/b",)], "path string"))
 
 
+def test_written_checkpoint_reads_back(spark, model, tmp_path):
+    where, expected = model
+    rows = safetensors.scan(spark, where).where("name <> '0.empty'").select(F.concat("dtype", F.lit(".safetensors")).alias("file"), "name", "dtype", "shape", "data")
+    made = safetensors.write(rows.repartition(7), str(tmp_path / "out"), 64).collect()
+    assert {r.file for r in made} == {f"{t[0]}.safetensors" for t in expected.values()} == set(os.listdir(tmp_path / "out"))
+    back = safetensors.scan(spark, str(tmp_path / "out")).select("name", "dtype", "shape", "data", "file_offset", "data_start").collect()
+    assert {r.name: (r.dtype, tuple(r["shape"]), bytes(r.data)) for r in back} == {n: t for n, t in expected.items() if n != "0.empty"}
+    assert {(r.file_offset - r.data_start) % 64 for r in back} == {0}
+
+
+def test_backends_are_not_mixed(spark):
+    with pytest.raises(ValueError, match="locked to a single"):
+        safetensors.scan(spark, ["s3://a/b.safetensors", "gs://a/b.safetensors"])
+
+
+def test_failed_chunks_are_tried_again_then_leave_as_access_errors(monkeypatch):
+    class Flaky:
+        def __init__(self, failures):
+            self.failures, self.tries = failures, 0
+
+        def open_input_file(self, path):
+            return self
+
+        def read_at(self, size, offset):
+            self.tries += 1
+            if self.tries <= self.failures:
+                raise OSError("gone")
+            return bytes(range(offset, offset + size))
+
+        def close(self):
+            pass
+
+    for failures, seconds, fine in ((2, 5, True), (1, 0, False), (10**6, 0.3, False)):
+        flaky = Flaky(failures)
+        monkeypatch.setattr(storage, "located", lambda path, flaky=flaky: (flaky, path))
+        monkeypatch.setattr(storage, "retry_wait", lambda n: 0.01)
+        read, _ = storage.reader("x", seconds)
+        if fine:
+            assert storage.exact(read, 3, 4, "x") == bytes([3, 4, 5, 6]) and flaky.tries == 3
+        else:
+            with pytest.raises(storage.ReadError) as e:
+                read(3, 4)
+            assert e.value.code == 2 and (flaky.tries == 1 if not seconds else flaky.tries > 2)
+
+
+def test_credentials_are_set_once(spark):
+    kept = dict(spark.sparkContext.environment)
+    system = spark._jsc.hadoopConfiguration()
+    try:
+        storage.set_credentials(spark, access_key="a", secret_key="b")
+        storage.set_credentials(spark, secret_key="b", access_key="a")
+        assert system.get("fs.s3a.access.key") == "a" and spark.sparkContext.environment["AWS_SECRET_ACCESS_KEY"] == "b"
+        with pytest.raises(PermissionError, match="already set"):
+            storage.set_credentials(spark, access_key="a", secret_key="c")
+        with pytest.raises(ValueError):
+            storage.set_credentials(spark, password="x")
+    finally:
+        spark.sparkContext.environment.clear()
+        spark.sparkContext.environment.update(kept)
+        for name in ("rangeloom.credentials", "fs.s3a.access.key", "fs.s3a.secret.key"):
+            system.unset(name)
+        for name in ("AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY"):
+            os.environ.pop(name, None)
+
+
+def test_readers_of_a_pull_wait_for_no_reader(tmp_path):
+    with pytest.raises(FileNotFoundError), listing.pulled(str(tmp_path)):
+        pass
+    (tmp_path / "_SUCCESS").touch()
+    with listing.pulled(str(tmp_path)) as a, listing.pulled(str(tmp_path)) as b:
+        assert a == b
+
+
+def test_number_settings():
+    assert scalars.number_setting("depth", " 7 ", 1) == 7 and scalars.number_setting("depth", None, 3) == 3
+    assert scalars.number_setting("share", "0.5", 1, above=0, most=1, kind=float) == 0.5
+    for raw, bounds in (("x", {}), ("", {}), ("0", {"above": 0}), ("3", {"most": 2}), ("-1", {"least": 0}), ("nan", {"least": 0, "kind": float}), ("1.5", {})):
+        with pytest.raises(ValueError, match="depth"):
+            scalars.number_setting("depth", raw, 1, **bounds)
+
+
 @pytest.mark.parametrize("pattern", ["*", "*.txt", "a?c", "[!a]*", "[a-c]x", "[", "a[b", "x[]]y", "a.b+c", "*[^x]"])
 def test_glob_regex_is_fnmatch(spark, pattern):
     from fnmatch import fnmatchcase

@@ -7,7 +7,7 @@ named by doc_id, every sixth empty, 8 bytes of file before the first.
 from __future__ import annotations
 
 import functools
-import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -17,19 +17,13 @@ from pyspark.sql import functions as F
 from rangeloom.functions import decode, scalars
 from rangeloom.model import INVALID_CODE, MESSAGES
 from rangeloom.operators import checks, division, partition, ranges, responses
+from rangeloom.plans import ring
+from rangeloom.session import shared_dir, ship
 
-RANKS, SLOT, CAP, CHUNK, BLOCK, WORKERS = 4, 65536, 16, 2048, 4096, 7
+RANKS, RING, CAP, CHUNK, BLOCK, WORKERS = 4, 64, 16, 2048, 4096, 7
 DEPTHS = "64,nfs=32,fuse=16,nfs4=8"
 
 
-def ship(spark: SparkSession) -> None:
-    """Let local Python workers import this package when it is run from a source tree."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -279,25 +273,36 @@ def chunk_groups(spark, sf_dir):
 
 # Partition and packing ---------------------------------------------------------------------------
 
-_WALK = """, walk AS (SELECT ordinal, 0 AS slot_id, size AS used, 1 AS n, 0::BIGINT AS slot_offset FROM f WHERE ordinal = 0
-UNION ALL SELECT f.ordinal, CASE WHEN used + f.size > {b} OR n >= {cap} THEN slot_id + 1 ELSE slot_id END, CASE WHEN used + f.size > {b} OR n >= {cap} THEN f.size ELSE used + f.size END,
-  CASE WHEN used + f.size > {b} OR n >= {cap} THEN 1 ELSE n + 1 END, CASE WHEN used + f.size > {b} OR n >= {cap} THEN 0 ELSE used END FROM walk JOIN f ON f.ordinal = walk.ordinal + 1)
+_SLOT = f"slot AS (SELECT greatest(max(size), sum(size) // {RING})::BIGINT AS b FROM r)"
+_WALK = f", {_SLOT}" + """, walk AS (SELECT ordinal, 0 AS slot_id, size AS used, 1 AS n, 0::BIGINT AS slot_offset FROM f WHERE ordinal = 0
+UNION ALL SELECT f.ordinal, CASE WHEN used + f.size > b OR n >= {cap} THEN slot_id + 1 ELSE slot_id END, CASE WHEN used + f.size > b OR n >= {cap} THEN f.size ELSE used + f.size END,
+  CASE WHEN used + f.size > b OR n >= {cap} THEN 1 ELSE n + 1 END, CASE WHEN used + f.size > b OR n >= {cap} THEN 0 ELSE used END FROM walk JOIN f ON f.ordinal = walk.ordinal + 1, slot)
 """
 
 
-@query("slots_nextfit", _with(_WALK.format(b=SLOT, cap=1 << 60) + "SELECT ordinal, slot_id::INT AS slot_id, slot_offset::BIGINT AS slot_offset FROM walk"))
+def _slot(rows: DataFrame) -> int:
+    """The slots of a ring of RING for these ranges: each holds the largest."""
+    total, largest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    return ring.even_slot(total, largest, RING)
+
+
+@query("slots_nextfit", _with(_WALK.format(cap=1 << 60) + "SELECT ordinal, slot_id::INT AS slot_id, slot_offset::BIGINT AS slot_offset FROM walk"))
 def slots_nextfit(spark, sf_dir):
-    return partition.packed(ranges.flatten(fixture(spark, sf_dir)), SLOT).select("ordinal", "slot_id", "slot_offset")
+    rows = fixture(spark, sf_dir)
+    return partition.packed(ranges.flatten(rows), _slot(rows)).select("ordinal", "slot_id", "slot_offset")
 
 
-@query("slots_row_cap", _with(_WALK.format(b=SLOT, cap=CAP) + "SELECT ordinal, slot_id::INT AS slot_id, slot_offset::BIGINT AS slot_offset FROM walk"))
+@query("slots_row_cap", _with(_WALK.format(cap=CAP) + "SELECT ordinal, slot_id::INT AS slot_id, slot_offset::BIGINT AS slot_offset FROM walk"))
 def slots_row_cap(spark, sf_dir):
-    return partition.packed(ranges.flatten(fixture(spark, sf_dir)), SLOT, CAP).select("ordinal", "slot_id", "slot_offset")
+    rows = fixture(spark, sf_dir)
+    return partition.packed(ranges.flatten(rows), _slot(rows), CAP).select("ordinal", "slot_id", "slot_offset")
 
 
-@query("slot_fill", _with(_WALK.format(b=SLOT, cap=1 << 60) + f", e AS (SELECT slot_id, max(used) AS b, count(*) AS n FROM walk GROUP BY 1) SELECT count(*) AS n_slots, sum(b)::BIGINT AS bytes, max(n) AS widest, round(sum(b) / (count(*) * {SLOT}), 6)::DOUBLE AS fill FROM e"))
+@query("slot_fill", _with(_WALK.format(cap=1 << 60) + ", e AS (SELECT slot_id, max(used) AS taken, count(*) AS n FROM walk GROUP BY 1) SELECT count(*) AS n_slots, sum(taken)::BIGINT AS bytes, max(n) AS widest, round(sum(taken) / (count(*) * max(b)), 6)::DOUBLE AS fill FROM e, slot"))
 def slot_fill(spark, sf_dir):
-    return partition.slot_fill(partition.packed(ranges.flatten(fixture(spark, sf_dir)), SLOT), SLOT)
+    rows = fixture(spark, sf_dir)
+    slot = _slot(rows)
+    return partition.slot_fill(partition.packed(ranges.flatten(rows), slot), slot)
 
 
 def _least_loaded(items: str) -> str:
@@ -352,12 +357,16 @@ def rank_share(spark, sf_dir):
     return partition.share_of(fixture(spark, sf_dir), RANKS, 2).select("name", "size")
 
 
-@query("predicted_slots", _with(_SPANS + f""", walk AS (SELECT rank, ordinal, 0 AS slot_id, size AS used, 0::BIGINT AS slot_offset FROM x WHERE ordinal IN (SELECT min(ordinal) FROM x GROUP BY rank)
-UNION ALL SELECT x.rank, x.ordinal, CASE WHEN used + x.size > {SLOT} THEN slot_id + 1 ELSE slot_id END, CASE WHEN used + x.size > {SLOT} THEN x.size ELSE used + x.size END, CASE WHEN used + x.size > {SLOT} THEN 0 ELSE used END
-  FROM walk JOIN x ON x.ordinal = walk.ordinal + 1 AND x.rank = walk.rank)
-SELECT name, walk.rank::INT AS rank, slot_id::INT AS slot_id, slot_offset::BIGINT AS slot_offset FROM walk JOIN x USING (ordinal)"""))
+_RANK_WALK = f", {_SLOT}" + """, walk AS (SELECT rank, ordinal, 0 AS slot_id, size AS used, 0::BIGINT AS slot_offset FROM x WHERE ordinal IN (SELECT min(ordinal) FROM x GROUP BY rank)
+UNION ALL SELECT x.rank, x.ordinal, CASE WHEN used + x.size > b THEN slot_id + 1 ELSE slot_id END, CASE WHEN used + x.size > b THEN x.size ELSE used + x.size END, CASE WHEN used + x.size > b THEN 0 ELSE used END
+  FROM walk JOIN x ON x.ordinal = walk.ordinal + 1 AND x.rank = walk.rank, slot)
+"""
+
+
+@query("predicted_slots", _with(_SPANS + _RANK_WALK + "SELECT name, walk.rank::INT AS rank, slot_id::INT AS slot_id, slot_offset::BIGINT AS slot_offset FROM walk JOIN x USING (ordinal)"))
 def predicted_slots(spark, sf_dir):
-    return partition.predicted_slots(fixture(spark, sf_dir), RANKS, SLOT).select("name", "rank", "slot_id", "slot_offset")
+    rows = fixture(spark, sf_dir)
+    return partition.predicted_slots(rows, RANKS, _slot(rows)).select("name", "rank", "slot_id", "slot_offset")
 
 
 @query("broadcast_delivery", _with(_SPANS + "SELECT name, rank::INT AS from_rank, k::INT AS to_rank FROM x, (SELECT unnest(range(0, 4)) AS k)"))
@@ -408,12 +417,17 @@ def assigned_bytes_by_policy(spark, sf_dir):
     return functools.reduce(DataFrame.union, [checks.conserved(rows, partition.partitioned(rows, RANKS, x)).withColumn("policy", F.lit(x)) for x in partition.POLICIES])
 
 
-@query("slots_as_predicted", "SELECT 0::BIGINT AS surprises")
+@query("slots_as_predicted", _with(_SPANS + _RANK_WALK + "SELECT rank::INT AS rank, count(DISTINCT slot_id) AS n_slots, sum(size)::BIGINT AS bytes, 0::BIGINT AS surprises FROM walk JOIN x USING (rank, ordinal) GROUP BY 1"))
 def slots_as_predicted(spark, sf_dir):
+    """What each rank's own packing of its share holds, and how many of its ranges lie elsewhere than predicted."""
     rows = fixture(spark, sf_dir)
-    said = partition.predicted_slots(rows, RANKS, SLOT).select("rank", "name", "slot_id", "slot_offset")
-    own = [partition.packed(ranges.flatten(partition.share_of(rows, RANKS, k).drop("ordinal", "start", "rank")), SLOT).select(F.lit(k).alias("rank"), "name", "slot_id", "slot_offset") for k in range(RANKS)]
-    return checks.differences(said, functools.reduce(DataFrame.union, own)).agg(F.count("*").alias("surprises"))
+    slot = _slot(rows)
+    columns = ("rank", "name", "size", "slot_id", "slot_offset")
+    said = partition.predicted_slots(rows, RANKS, slot).select(*columns)
+    own = functools.reduce(DataFrame.union, [partition.packed(ranges.flatten(partition.share_of(rows, RANKS, k).drop("ordinal", "start")), slot).select(*columns) for k in range(RANKS)])
+    wrong = checks.differences(said, own).groupBy("rank").agg(F.count("*").alias("n"))
+    held = own.groupBy("rank").agg(F.countDistinct("slot_id").alias("n_slots"), F.sum("size").alias("bytes"))
+    return held.join(wrong, "rank", "left").select("rank", "n_slots", "bytes", F.coalesce("n", F.lit(0)).alias("surprises"))
 
 
 @query("error_attribution", """WITH t AS (SELECT event_id // 40 AS workload_id, event_id // 8 % 3 AS file_id, event_id AS range_index, event_id * 7919 % 10007 AS event_seq, CASE WHEN event_id % 23 = 0 THEN 19 WHEN event_id % 31 = 0 THEN 3 WHEN event_id % 7 < 2 THEN NULL ELSE 0 END AS code FROM events),
@@ -472,10 +486,7 @@ def global_ids(spark, sf_dir):
 
 def _stream(spark, rows: DataFrame, operate, out: str, parts: int = 4) -> DataFrame:
     """operate over rows as a stream of parts files, one for each micro-batch; what it gives, from the shared folder."""
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/rangeloom-{os.getuid()}"
-    base = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.repartition(parts, "arrival_seq").sortWithinPartitions("arrival_seq").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     run = operate(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
@@ -494,8 +505,54 @@ def reorder_stream(spark, sf_dir):
 def completion_stream(spark, sf_dir):
     from rangeloom.streaming import reorder
 
-    rows = _arrivals(spark, sf_dir).select(F.col("stream").alias("submission_id"), F.col("ordinal").alias("size"), F.lit(1000).cast("bigint").alias("expected"), "arrival_seq")
-    return _stream(spark, rows, reorder.completions, reorder.COMPLETED)
+    rows = _arrivals(spark, sf_dir).select(F.col("stream").alias("submission_id"), F.col("ordinal").alias("range_id"), F.col("ordinal").alias("size"), F.lit(1000).cast("bigint").alias("expected"), "arrival_seq")
+    again = rows.where("range_id % 7 = 0").withColumn("arrival_seq", F.col("arrival_seq") + 1)  # answers that come twice count once
+    return _stream(spark, rows.union(again), reorder.completions, reorder.COMPLETED)
+
+
+@query("once_stream", "SELECT DISTINCT event_id % 50 AS submission_id, event_id // 50 % 10 AS file_index, event_id // 50 % 15 AS range_index FROM events")
+def once_stream(spark, sf_dir):
+    from rangeloom.streaming import reorder
+
+    rows = _table(spark, sf_dir, "events").select(
+        (F.col("event_id") % 50).alias("submission_id"), F.expr("event_id div 50 % 10").alias("file_index"), F.expr("event_id div 50 % 15").alias("range_index"),
+        F.col("ts").cast("timestamp").alias("arrival"), F.col("event_id").alias("arrival_seq"),
+    )
+    span = rows.agg(F.expr("unix_seconds(max(arrival)) - unix_seconds(min(arrival))")).first()[0] or 0  # the log is replayed in any order
+    keys = ["submission_id", "file_index", "range_index"]
+    return _stream(spark, rows, lambda s: reorder.once_each(s, "arrival", f"{span + 1} seconds").select(*keys), "submission_id bigint, file_index bigint, range_index bigint")
+
+
+@query("workload_of_handle", """SELECT e.event_id, e.handle, b.base, e.handle - b.base AS place FROM (SELECT event_id, event_id * 7919 % 100003 AS handle FROM events) e
+  LEFT JOIN (SELECT DISTINCT user_id * 613 + 17 AS base FROM events) b ON b.base = (SELECT max(user_id * 613 + 17) FROM events x WHERE x.user_id * 613 + 17 <= e.handle)""")
+def workload_of_handle(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    bases = e.select((F.col("user_id") * 613 + 17).cast("bigint").alias("base")).distinct()
+    rows = responses.greatest_base(e.select("event_id", (F.col("event_id") * 7919 % 100003).alias("handle")), bases, 4096)
+    return rows.withColumn("place", F.col("handle") - F.col("base"))
+
+
+@query("teardown_codes", "SELECT event_id, (CASE WHEN event_id % 7 < 2 THEN 1 WHEN event_id % 17 = 0 THEN 2 ELSE 0 END)::INT AS code FROM events")
+def teardown_codes(spark, sf_dir):
+    e = F.col("event_id")
+    return responses.torn_down(_table(spark, sf_dir, "events").select("event_id", F.when(e % 7 < 2, None).when(e % 17 == 0, 2).otherwise(0).cast("int").alias("code")))
+
+
+@query("chunk_retries", """SELECT event_id // 4 AS chunk_id, event_id AS range_id, (CASE WHEN n = 0 THEN 0 WHEN event_id // 4 % 3 = 0 THEN 2 WHEN n * 300 > 1000 THEN 2 ELSE 0 END)::INT AS code
+FROM (SELECT event_id, event_id // 4 % 6 AS n FROM events)""")
+def chunk_retries(spark, sf_dir):
+    """Chunks of four ranges; the nth chunk fails n times, 300 ms apart, and every third has no retry."""
+    e = F.col("event_id")
+    chunk = F.expr("event_id div 4")
+    rows = _table(spark, sf_dir, "events").select(chunk.alias("chunk_id"), e.alias("range_id"), (chunk % 6).alias("failures"))
+    tries = rows.select("chunk_id", "range_id", F.posexplode(F.sequence(F.lit(0), F.col("failures"))).alias("attempt", "__n"), "failures")
+    tries = tries.select("chunk_id", "range_id", (F.col("attempt") * 300).cast("bigint").alias("at_ms"), F.when(F.col("attempt") < F.col("failures"), 19).otherwise(0).alias("code"), F.when(F.col("chunk_id") % 3 == 0, 0).otherwise(1000).alias("timeout_ms"))
+    return responses.chunk_outcomes(tries)
+
+
+@query("human_sizes", """SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE n || ' B' END AS size FROM (SELECT doc_id, n_chars::BIGINT AS n FROM documents)""")
+def human_sizes(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.human_size(F.col("n_chars").cast("bigint")).alias("size"))
 
 
 # Tensors -----------------------------------------------------------------------------------------
@@ -520,38 +577,47 @@ def tensor_decode(spark, sf_dir):
     return _encoded(spark, sf_dir).select("vec_id", F.posexplode(decode.decode_double("data", "dtype")).alias("i", "value"))
 
 
-def _checkpoint(spark) -> str:
-    """Three small files with every dtype, empty tensors and different header padding."""
-    from rangeloom.model import DTYPES
-    from rangeloom.sources import header
-
-    where = f"/tmp/rangeloom-fixture-{os.getuid()}"
-    os.makedirs(where, exist_ok=True)
-    for k, align in enumerate((8, 4096, 1)):
-        draw = np.random.Generator(np.random.PCG64(k))
-        tensors = {f"{k}.{kind}": (kind, (3, 4), draw.integers(0, 2, 12 * width // packed, dtype=np.uint8).tobytes()) for kind, (width, packed) in DTYPES.items()}
-        tensors[f"{k}.empty"] = ("F32", (0, 5), b"")
-        tensors[f"{k}.scalar"] = ("I64", (), b"\x07" + bytes(7))
-        part = f"{where}/part-{k}.safetensors"
-        header.write(f"{part}.{os.getpid()}", tensors, align, {"format": "pt"} if k else None)
-        os.replace(f"{part}.{os.getpid()}", part)
+FILES = 8
+
+
+def _checkpoint(spark, sf_dir) -> str:
+    """The embeddings as a checkpoint of FILES files in the shared folder, one tensor a vector."""
+    from rangeloom.sources.safetensors import write
+
+    where = f"{shared_dir(spark)}/checkpoint-{uuid.uuid4().hex}"
+    tensors = _encoded(spark, sf_dir).select(F.concat(F.lit("part-"), F.col("vec_id") % FILES, F.lit(".safetensors")).alias("file"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("name"), "dtype", "shape", "data")
+    write(tensors, where).collect()  # a row a file
     return where
 
 
-@query("safetensors_scan")
+@query("safetensors_scan", "SELECT vec_id, 'F32' AS dtype, (4 * len(embedding))::BIGINT AS nbytes, (unnest(embedding))::DOUBLE AS value, (generate_subscripts(embedding, 1) - 1)::INT AS i FROM embeddings")
 def safetensors_scan(spark, sf_dir):
     from rangeloom.sources.safetensors import scan
 
-    ship(spark)
-    return scan(spark, _checkpoint(spark)).select("file_id", "tensor_index", "name", "dtype", "shape", "nbytes", F.crc32("data").alias("crc"))
+    rows = scan(spark, _checkpoint(spark, sf_dir))
+    return rows.select(F.col("name").cast("bigint").alias("vec_id"), "dtype", "nbytes", F.posexplode(decode.decode_double("data", "dtype")).alias("i", "value"))
 
 
-@query("header_sweep")
+@query("header_sweep", f"""SELECT vec_id, (dense_rank() OVER (ORDER BY vec_id % {FILES}) - 1)::INT AS file_id, (row_number() OVER w - 1)::INT AS tensor_index, len(embedding)::BIGINT AS item_count, len(embedding)::BIGINT AS length,
+  coalesce(sum(4 * len(embedding)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS data_start, (sum(4 * len(embedding)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS data_end
+FROM embeddings WINDOW w AS (PARTITION BY vec_id % {FILES} ORDER BY vec_id)""")
 def header_sweep(spark, sf_dir):
     from rangeloom.sources.safetensors import scan
 
-    ship(spark)
-    return scan(spark, _checkpoint(spark), withData=False).select("file_id", "name", "storage_shape", "item_count", "data_start", "data_end", "file_offset")
+    rows = scan(spark, _checkpoint(spark, sf_dir), withData=False)
+    return rows.select(F.col("name").cast("bigint").alias("vec_id"), "file_id", "tensor_index", "item_count", F.element_at("storage_shape", 1).alias("length"), "data_start", "data_end")
+
+
+@query("selected_tensors", "SELECT vec_id, (4 * len(embedding))::BIGINT AS nbytes, (unnest(embedding))::DOUBLE AS value, (generate_subscripts(embedding, 1) - 1)::INT AS i FROM embeddings WHERE vec_id % 10 = 3 AND vec_id IN (SELECT doc_id FROM labels)")
+def selected_tensors(spark, sf_dir):
+    """Tensors asked for by name: blocks of 64 bytes, put together again."""
+    from rangeloom.sources.safetensors import scan
+
+    asked = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")).where("vec_id % 10 = 3").join(_table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", "left_semi").distinct()
+    names = [r[0] for r in asked.select(F.lpad(F.col("vec_id").cast("string"), 12, "0")).collect()]  # what a caller would pass
+    rows = scan(spark, _checkpoint(spark, sf_dir), names=names, blockBytes=64)
+    whole = rows.groupBy("name", "dtype", "nbytes").agg(F.expr("aggregate(array_sort(collect_list(struct(block_index, block))), X'', (a, x) -> concat(a, x.block))").alias("data"))
+    return whole.select(F.col("name").cast("bigint").alias("vec_id"), "nbytes", F.posexplode(decode.decode_double("data", "dtype")).alias("i", "value"))
 
 
 def queries() -> dict:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rangeloom.operators import division, partition, ranges
 from rangeloom.plans import ring
@@ -136,5 +137,35 @@ def test_rings():
         ring.host_ring([10], 5)
     with pytest.raises(ring.LimitError):
         ring.host_ring([10], -2)
-    assert ring.device_ring([100], 150) is None
+    assert ring.device_ring([100], 150, 1) is None and ring.device_ring([100], None) is None and ring.device_ring([0], 0) == (0, 1)
+    assert ring.device_ring([100], 1000) == (100, 1)  # a stream that fits one slot keeps one
+    assert ring.device_ring([100] * 8, 1000, 1) == (500, 2) and ring.device_ring([100] * 8, 1000) == (250, 2)
+    assert ring.device_ring([100] * 8, 10_000) == (800, 1) and ring.device_ring([100] * 8, 10_000, most_rows=5) == (800, 2)
+    assert ring.device_ring([100] * 8, 10_000, limit=300) == (150, 2)
+    assert ring.device_ring([100] * 8, 10_000, limit=300, beside=1) == (100, 2) and ring.device_ring([100] * 8, 10_000, limit=250, beside=1) == (100, 1)
+    assert ring.device_ring([100] * 8, 10_000, limit=200, beside=2) is None
+    for bad in ({"share": 0}, {"share": 1.5}, {"limit": 0}, {"limit": -1}):
+        with pytest.raises(ValueError):
+            ring.device_ring([1], 10, **bad)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spans_from_blocks_equal_those_from_all_sizes(spark, seed):
+    draw = np.random.Generator(np.random.PCG64(seed))
+    sizes = draw.integers(0, [3, 1000, 10**12, 50][seed], 500)
+    sizes[draw.random(500) < [0.9, 0.1, 0, 0.5][seed]] = 0
+    start = np.cumsum(sizes) - sizes
+    flat = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(start, sizes, strict=True))], "ordinal bigint, start bigint, size bigint")
+    for ranks in (1, 2, 5, 40):
+        whole = partition.span_starts(sizes, ranks).tolist()
+        for blocks in (3, 29, 10**6):
+            assert partition.span_cuts(flat, ranks, blocks).tolist() == whole
+    assert partition.span_cuts(flat.limit(0), 3).tolist() == [0, 0, 0]
+
+
+def test_too_many_ranges_for_the_driver_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(partition, "DRIVER_RANGES", 3)
+    rows = spark.range(4).select(F.col("id").alias("ordinal"), F.lit(1).cast("bigint").alias("size"))
+    with pytest.raises(ValueError, match="4 ranges"):
+        partition.packed(rows, 10)
     assert ring.rank_limit(-1, 8, 5) == -1 and ring.rank_limit(80, 8, 50) == 50

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rangeloom.llm import chat, common, decontaminate, langid, lines, mixing, ngram_lm, quality, sharding, simhash, sql, substring
+from rangeloom.llm import chat, decontaminate, langid, lines, mixing, ngram_lm, quality, sharding, simhash, sql, substring
+from rangeloom.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    common.ship(spark)
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

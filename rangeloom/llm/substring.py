@@ -1,13 +1,15 @@
 """Repeated spans of words, removed by De Bruijn compaction.
 
-The graph: an edge is a window of LENGTH words, its nodes are the words but the last and the words but the
-first. A document is a walk. Walks are cut into paths where the anchor changes: the anchor of a window is its
-leftmost smallest hash of ANCHOR words, so equal windows have equal anchors at equal places, and a path is a
-run of a document's windows over one anchor. A path that recurs whole is compacted: all its edges repeat, and
-it is never expanded. Only where paths of one anchor differ, branch points, are single edges compared.
-
-Everything that joins or groups is (anchor, path) or (anchor, edge) hashes, 128 bits together, with the source
-coordinates doc_id, row key and first word; the spans are checked and cut from the texts at these coordinates.
+The graph: an edge is a window of LENGTH words, from the node of its words but the last to that of its words but
+the first; a document is a walk. Edges are dealt into buckets by anchor, the leftmost smallest hash of ANCHOR words
+in the window, so a document's windows come in runs over one anchor. A run whose anchor has no other run is already
+a nonbranching path and is one vertex of what follows; where runs over one anchor differ, each edge is one.
+
+A vertex is kept if it occurs more than once. Its in- and out-degree are counted over all its occurrences, document
+ends included: where a vertex has one successor, and that has one predecessor, the two are one path. Pointer doubling
+over joins finds where each path begins and how many windows it has, so long repeats, whole copies among them, become
+one row. The path's words are read at its source, its first occurrence; every occurrence is compared with them, at its
+own coordinates, by a 128-bit cryptographic digest before anything is removed.
 """
 
 from __future__ import annotations
@@ -19,29 +21,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeloom.llm.common import Rolling, Sieve, long_array, row_key, steps, texts_of, written
+from rangeloom.llm.common import Rolling, Sieve, discard, long_array, row_key, span_hashes, steps, texts_of, written
 
 LENGTH = 35
 ANCHOR = 16
+#: Turns of pointer doubling at most: no text has 2**40 windows.
+TURNS = 40
 
-PATHS = "anchor bigint, path bigint, doc_id bigint, key bigint, start int, n int, edges binary"
+RUNS = "anchor bigint, path bigint, doc_id bigint, key bigint, start int, n int, head bigint, tail bigint, before bigint, after bigint, edges binary"
+SPANS = "doc_id bigint, key bigint, spans array<struct<start:int,end:int>>"
 
 
 class Walk:
-    """The paths of one step's documents."""
+    """The runs of one step's documents: windows from first to last, over one anchor each."""
 
     def __init__(self, texts, length: int, anchor: int, rolls):
-        chars, grams, spans = rolls
+        grams, self.spans = rolls
         self.length = length
         starts, ends, at = texts.words()
-        self.words = chars.spans(chars.prefix(chars.table[texts.data]), starts, ends)
-        n = len(self.words)
-        self.first = self.last = self.doc = np.zeros(0, np.int64)
+        words = span_hashes(texts.data, starts, ends, 11)
+        n = len(words)
+        self.first = self.last = self.doc = self.start = np.zeros(0, np.int64)
         self.anchors = self.paths = np.zeros(0, np.uint64)
         if n < length:
             return
         places = np.arange(n - anchor + 1)
-        low = grams.spans(grams.prefix(self.words), places, places + anchor)
+        low = grams.spans(grams.prefix(words), places, places + anchor)
         where = places.astype(np.int32)
         width, size = length - anchor + 1, 1
         while size < width:  # a sliding minimum over width values; the left one wins a tie
@@ -50,94 +55,234 @@ class Walk:
             low, where = np.where(right, low[d:], low[:-d]), np.where(right, where[d:], where[:-d])
             size += d
         doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        inside = doc[: len(where)] == doc[length - 1 :]
+        self.inside = doc[: len(where)] == doc[length - 1 :]
         turn = np.zeros(len(where) + 1, bool)
         turn[1:-1] = (where[1:] != where[:-1]) | (doc[1 : len(where)] != doc[: len(where) - 1])
         turn[[0, -1]] = True
-        self.first = np.flatnonzero(turn[:-1] & inside)
+        self.first = np.flatnonzero(turn[:-1] & self.inside)
         # A run ends where the next begins, or at the last window inside its document.
         stop = np.zeros(len(where), bool)
-        stop[:-1] = turn[1:-1] | ~inside[1:]
+        stop[:-1] = turn[1:-1] | ~self.inside[1:]
         stop[-1] = True
-        self.last = np.flatnonzero(stop & inside)
+        self.last = np.flatnonzero(stop & self.inside)
         self.doc = doc[self.first]
         self.start = self.first - at[self.doc]
-        self.prefix, self.spans = spans.prefix(self.words), spans
-        place = where[self.first]
+        self.prefix = self.spans.prefix(words)
         self.anchors = low[self.first]
-        offset = (place - self.first).astype(np.uint64)
-        self.paths = spans.spans(self.prefix, self.first, self.last + length) + offset * np.uint64(0x9E3779B97F4A7C15)
+        offset = (where[self.first] - self.first).astype(np.uint64)
+        self.paths = self.spans.spans(self.prefix, self.first, self.last + length) + offset * np.uint64(0x9E3779B97F4A7C15)
+
+    def edge(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at these words, never 0."""
+        return np.maximum(self.spans.spans(self.prefix, at, at + self.length), np.uint64(1))
 
-    def edges(self, which: np.ndarray) -> list[bytes]:
-        out = []
-        for a, b in zip(self.first[which].tolist(), self.last[which].tolist(), strict=True):
-            at = np.arange(a, b + 1)
-            out.append(self.spans.spans(self.prefix, at, at + self.length).tobytes())
-        return out
+    def neighbours(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The edges before and after the runs, 0 at a document's ends."""
+        first, last = self.first[which], self.last[which]
+        before, after = np.zeros(len(which), np.uint64), np.zeros(len(which), np.uint64)
+        inner = self.start[which] > 0
+        before[inner] = self.edge(first[inner] - 1)
+        further = np.append(self.inside, False)[last + 1]  # the window after a run's last lies in the same document, or in none
+        after[further] = self.edge(last[further] + 1)
+        return before, after
 
 
-def _walks(docs: DataFrame, length: int, anchor: int, sieve=None, with_edges: bool = False) -> DataFrame:
-    """One row for each path; with a sieve, of anchors that pass it."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve.bits) if sieve else None
+def _walks(docs: DataFrame, length: int, anchor: int, sieve: Sieve | None = None, branching: Sieve | None = None) -> DataFrame:
+    """Anchor and path of every run; with sieves, whole rows of the runs whose anchor passes the first, edges where it passes both."""
+    context = docs.sparkSession.sparkContext
+    some, split = (context.broadcast(x.bits) if x else None for x in (sieve, branching))
 
     def scan(batches):
-        rolls = Rolling(11), Rolling(12), Rolling(13)
-        only = Sieve(shared.value) if shared else None
+        rolls = Rolling(12), Rolling(13)
+        only, single = (Sieve(x.value) if x else None for x in (some, split))
         for batch in batches:
             for part in steps(batch, "text"):
                 walk = Walk(texts_of(part.column("text")), length, anchor, rolls)
-                use = np.flatnonzero(only.passes(walk.anchors)) if only else np.arange(len(walk.anchors))
+                if not only:
+                    yield pa.RecordBatch.from_arrays([long_array(walk.anchors), long_array(walk.paths)], ["anchor", "path"])
+                    continue
+                use = np.flatnonzero(only.passes(walk.anchors))
                 if not len(use):
                     continue
-                doc = pa.array(walk.doc[use])
+                doc, first, last = pa.array(walk.doc[use]), walk.first[use], walk.last[use]
+                before, after = walk.neighbours(use)
+                wanted = single.passes(walk.anchors[use]).tolist()
+                edges = [walk.edge(np.arange(a, b + 1)).tobytes() if w else None for a, b, w in zip(first.tolist(), last.tolist(), wanted, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        long_array(walk.anchors[use]), long_array(walk.paths[use]), part.column("doc_id").take(doc), part.column("key").take(doc), pa.array(walk.start[use].astype(np.int32)),
-                        pa.array((walk.last - walk.first + 1)[use].astype(np.int32)), pa.array(walk.edges(use) if with_edges else [None] * len(use), pa.binary()),
+                        long_array(walk.anchors[use]), long_array(walk.paths[use]), part.column("doc_id").take(doc), part.column("key").take(doc), pa.array(walk.start[use].astype(np.int32)), pa.array((last - first + 1).astype(np.int32)),
+                        long_array(walk.edge(first)), long_array(walk.edge(last)), long_array(before), long_array(after), pa.array(edges, pa.binary()),
                     ],
-                    ["anchor", "path", "doc_id", "key", "start", "n", "edges"],
+                    [x.split()[0] for x in RUNS.split(", ")],
                 )
 
-    return docs.mapInArrow(scan, PATHS)
+    return docs.mapInArrow(scan, RUNS if sieve else "anchor bigint, path bigint")
+
+
+EDGES = "anchor bigint, path bigint, place int, edge bigint, times bigint, doc_id bigint, key bigint, start int, low_before bigint, high_before bigint, low_after bigint, high_after bigint"
+
+
+def _expand(batches):
+    """The edges of runs, each with the ones before and after it."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            column = {name: part.column(name) for name in part.schema.names}
+            size = column["n"].to_numpy(zero_copy_only=False).astype(np.int64)
+            nth = np.repeat(np.arange(len(size)), size)
+            begin = np.cumsum(size) - size
+            place = np.arange(size.sum()) - begin[nth]
+            edge = np.frombuffer(b"".join(column["edges"].to_pylist()), np.int64)
+            own = {name: column[name].to_numpy(zero_copy_only=False)[nth] for name in ("start", "times", "low_before", "high_before", "low_after", "high_after")}
+            for name in ("low_before", "high_before"):
+                own[name] = np.where(place > 0, np.roll(edge, 1), own[name])
+            for name in ("low_after", "high_after"):
+                own[name] = np.where(place < size[nth] - 1, np.roll(edge, -1), own[name])
+            at = pa.array(nth)
+            start = pa.array((own["start"] + place).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [column["anchor"].take(at), column["path"].take(at), pa.array(place.astype(np.int32)), pa.array(edge), pa.array(own["times"]), column["doc_id"].take(at), column["key"].take(at), start, *(pa.array(own[x]) for x in ("low_before", "high_before", "low_after", "high_after"))],
+                [x.split()[0] for x in EDGES.split(", ")],
+            )
+
+
+def _only(low: str, high: str):
+    """The one neighbour that all occurrences have; 0 if they differ, or if a document ends there."""
+    return F.when(F.col(low) == F.col(high), F.col(low)).otherwise(F.lit(0))
+
+
+def graph(rows: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(occurrences of runs, distinct runs, vertices), all written. A vertex: head, tail (its first and last edge), n (windows),
+    before, after (its one neighbour, or 0), source (doc_id, key, start), anchor and path where it is a whole run."""
+    anchors = _walks(rows, length, anchor).groupBy("anchor").agg(F.count("*").alias("times"), F.min("path").alias("low"), F.max("path").alias("high"))
+    anchors = written(anchors.where("times > 1").select("anchor", (F.col("low") != F.col("high")).alias("branching")))
+    n_all, n_split = (x or 0 for x in anchors.agg(F.count("*"), F.sum(F.col("branching").cast("int"))).first())
+    # The sieves spare what occurs once; a run that passes by chance occurs once, and goes where that counts.
+    some = Sieve.of(anchors.select("anchor"), n_all), Sieve.of(anchors.where("branching").select("anchor"), n_split)
+    runs = written(_walks(rows, length, anchor, *some))
+    discard(anchors)
+    each = runs.groupBy("anchor", "path").agg(
+        F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("source"), F.min("n").alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail"),
+        *(f(x).alias(f"{name}_{x}") for x in ("before", "after") for name, f in (("low", F.min), ("high", F.max))), F.min("edges").alias("edges"),
+    )
+    paths = written(each)
+    before, after = _only("low_before", "high_before").alias("before"), _only("low_after", "high_after").alias("after")
+    whole = paths.where("edges IS NULL AND times > 1").select("head", "tail", "n", before, after, "source", "anchor", "path")
+    counted = _edges(paths).groupBy("edge").agg(
+        F.sum("times").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("source"),
+        *(f(f"{name}_{x}").alias(f"{name}_{x}") for x in ("before", "after") for name, f in (("low", F.min), ("high", F.max))),
+    )
+    none = F.lit(None).cast("bigint")
+    single = counted.where("times > 1").select(F.col("edge").alias("head"), F.col("edge").alias("tail"), F.lit(1).alias("n"), before, after, "source", none.alias("anchor"), none.alias("path"))
+    return runs, paths, written(whole.union(single))
+
+
+def _edges(paths: DataFrame) -> DataFrame:
+    return paths.where("edges IS NOT NULL").select("anchor", "path", "times", "source.*", "n", "low_before", "high_before", "low_after", "high_after", "edges").mapInArrow(_expand, EDGES)
+
+
+def compacted(vertices: DataFrame) -> DataFrame:
+    """The nonbranching paths: head, n (windows), source. Each turn a path's pointers reach twice as far."""
+    v, w = vertices.select("head", "tail", "after").where("after <> 0"), vertices.select(F.col("head").alias("to"), "before").where("before <> 0")
+    follow = written(v.join(w, (F.col("after") == F.col("to")) & (F.col("before") == F.col("tail"))).select("head", "to"))
+    now = written(vertices.select("head", F.col("n").cast("bigint").alias("n")).join(follow, "head", "left"))
+    for _ in range(TURNS):
+        if now.where("to IS NOT NULL").isEmpty():
+            break
+        far = now.select(F.col("head").alias("to"), F.col("n").alias("more"), F.col("to").alias("next"))
+        # What has arrived needs no join; paths are few rows against texts.
+        step = now.where("to IS NOT NULL").join(far, "to").select("head", (F.col("n") + F.col("more")).alias("n"), F.col("next").alias("to"))
+        turned = written(step.unionByName(now.where("to IS NULL")))
+        discard(now)
+        now = turned
+    else:  # only hashes that collide can close a circle: then vertices stay as they are
+        now, follow = vertices.select("head", F.col("n").cast("bigint").alias("n")), follow.limit(0)
+    begins = now.select("head", "n").join(follow.select(F.col("to").alias("head")), "head", "left_anti")
+    return written(begins.join(vertices.select("head", "source", "anchor", "path"), "head"))
+
+
+def _digest(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: int, last: int) -> bytes:
+    words = b" ".join([raw[a:b] for a, b in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)])
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _at_source(rows: DataFrame, paths: DataFrame, length: int) -> DataFrame:
+    """head, digest: of each path's words, read from the row that it was first found in."""
+    wanted = written(paths.select("source.doc_id", "source.key", F.struct("source.start", "n", "head").alias("path")).groupBy("doc_id", "key").agg(F.collect_list("path").alias("paths")))
+    sieve = rows.sparkSession.sparkContext.broadcast(Sieve.of(wanted.select("key"), wanted.count()).bits)
+
+    def some(batches):
+        only = Sieve(sieve.value)
+        for batch in batches:
+            yield batch.filter(pa.array(only.passes(batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    def read(batches):
+        for batch in batches:
+            for part in steps(batch, "text"):
+                texts = texts_of(part.column("text"))
+                starts, ends, at = texts.words()
+                raw, heads, digests = texts.data.tobytes(), [], []
+                for i, own in enumerate(part.column("paths").to_pylist()):
+                    for p in own:
+                        first = at[i] + p["start"]
+                        heads.append(p["head"])
+                        digests.append(_digest(raw, starts, ends, first, min(first + p["n"] + length - 1, at[i + 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(digests, pa.binary())], ["head", "digest"])
+
+    texts = rows.mapInArrow(some, rows.schema).join(wanted.withColumnRenamed("key", "__key").withColumnRenamed("doc_id", "__id"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    found = texts.select("text", "paths").mapInArrow(read, "head bigint, digest binary")
+    return written(found.groupBy("head").agg(F.min("digest").alias("digest")))  # rows that repeat say the same
+
+
+def _claims(rows: DataFrame, length: int, anchor: int) -> DataFrame:
+    """doc_id, key, claims array<struct<start, end, digest>>: where a path that occurs more than once should lie."""
+    runs, distinct, vertices = graph(rows, length, anchor)
+    paths = compacted(vertices)
+    paths = paths.join(_at_source(rows, paths, length), "head").select("head", "n", "digest", "anchor", "path")
+    # A path occurs where its first vertex does: a run as a whole, or one edge of it.
+    whole = paths.where("anchor IS NOT NULL").select("anchor", "path", F.lit(0).alias("place"), "n", "digest")
+    single = _edges(distinct).select("anchor", "path", "place", F.col("edge").alias("head")).join(paths.where("anchor IS NULL").select("head", "n", "digest"), "head").drop("head")
+    marks = written(whole.unionByName(single))
+    found = runs.select("anchor", "path", "doc_id", "key", "start").join(marks, ["anchor", "path"])  # both sides were written
+    first = F.col("start") + F.col("place")
+    claim = F.struct(first.alias("start"), (first + F.col("n").cast("int") + (length - 1)).alias("end"), "digest")
+    return found.groupBy("key", "doc_id").agg(F.collect_set(claim).alias("claims"))
+
+
+def _merged(claims: list, raw: bytes, starts: np.ndarray, ends: np.ndarray, begin: int, stop: int) -> list[tuple[int, int]]:
+    """Claims whose words, at their place in the text, are the source's; sorted, joined where they touch or overlap."""
+    out: list[list[int]] = []
+    for c in sorted(claims or (), key=lambda c: c["start"]):
+        if begin + c["end"] > stop or _digest(raw, starts, ends, begin + c["start"], begin + c["end"]) != c["digest"]:
+            continue
+        if out and c["start"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], c["end"])
+        else:
+            out.append([c["start"], c["end"]])
+    return [tuple(x) for x in out]
+
+
+def _joined(docs: DataFrame, text: str, ident: str, length: int, anchor: int, how: str) -> DataFrame:
+    rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), row_key(text, ident).alias("key"), F.col(text).alias("text"))
+    found = _claims(rows, length, anchor).withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key")
+    return rows.join(found, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), how).select("doc_id", "key", "text", "claims")
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", ident: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, key (see row_key), spans array<struct<start, end>> of word positions, sorted and disjoint: the words that
-    windows of length words cover whose word sequence starts more than once in docs. Documents without any are absent."""
-    rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), row_key(text, ident).alias("key"), F.col(text).alias("text"))
-    # Which anchors recur, and whether all their paths are one path. Grouping combines before it shuffles.
-    counted = _walks(rows, length, anchor).groupBy("anchor").agg(F.count("*").alias("times"), F.min("path").alias("low"), F.max("path").alias("high"))
-    anchors = written(counted.where("times > 1"))
-    whole, branching = anchors.where("low = high").select("anchor"), anchors.where("low <> high").select("anchor")
-    n_whole, n_branching = (x or 0 for x in anchors.agg(F.sum(F.expr("int(low = high)")), F.sum(F.expr("int(low <> high)"))).first())
-
-    # Compacted paths of one kind: each occurrence repeats as it is. The sieve spares the shuffle of most others.
-    same = _walks(rows, length, anchor, Sieve.of(whole, n_whole)).drop("edges").join(whole, "anchor")
-    covered = same.select("doc_id", "key", "start", F.expr("start + n - 1 + %d" % length).alias("end"))
-
-    # Branching anchors: paths that recur whole, then the single edges of the rest.
-    parts = written(_walks(rows, length, anchor, Sieve.of(branching, n_branching), True).join(branching, "anchor"))
-    paths = written(parts.groupBy("anchor", "path").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("source"), F.min("edges").alias("edges")))
-    again = parts.join(paths.where("times > 1").select("anchor", "path"), ["anchor", "path"])
-    covered = covered.union(again.select("doc_id", "key", "start", F.expr("start + n - 1 + %d" % length).alias("end")))
-
-    def expand(batches):
+    windows of length words cover whose word sequence starts more than once in docs. Rows without any are absent."""
+
+    def spans(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                blobs = part.column("edges").to_pylist()
-                size = np.array([len(x) // 8 for x in blobs])
-                at = pa.array(np.repeat(np.arange(len(blobs)), size))
-                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                flat = part.select(["anchor", "times", "doc_id", "key", "start"]).take(at)
-                start = flat.column("start").to_numpy(zero_copy_only=False) + place
-                yield pa.RecordBatch.from_arrays([flat.column("anchor"), pa.array(np.frombuffer(b"".join(blobs), np.int64)), flat.column("times"), flat.column("doc_id"), flat.column("key"), pa.array(start.astype(np.int32))], ["anchor", "edge", "times", "doc_id", "key", "start"])
-
-    edges = paths.select("anchor", "times", "source.*", "edges").mapInArrow(expand, "anchor bigint, edge bigint, times bigint, doc_id bigint, key bigint, start int")
-    common = written(edges.groupBy("anchor", "edge").agg(F.sum("times").alias("all")).where("all > 1").select("anchor", "edge"))
-    alone = edges.where("times = 1").join(common, ["anchor", "edge"])
-    covered = covered.union(alone.select("doc_id", "key", "start", F.expr("start + %d" % length).alias("end")))
-    return covered.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+            for part in steps(batch, "text"):
+                texts = texts_of(part.column("text"))
+                starts, ends, at = texts.words()
+                raw = texts.data.tobytes()
+                own = [_merged(claims, raw, starts, ends, at[i], at[i + 1]) for i, claims in enumerate(part.column("claims").to_pylist())]
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([[{"start": a, "end": b} for a, b in x] for x in own], kind)], ["doc_id", "key", "spans"])
+
+    return _joined(docs, text, ident, length, anchor, "inner").mapInArrow(spans, SPANS).where(F.size("spans") > 0)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR, with_kept: bool = True) -> DataFrame:
@@ -145,12 +290,9 @@ def without_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     between them): one row for each row of docs.
 
     A null text counts as empty. Rows that repeat are repeats of each other, so all their windows go. Fewer than
-    length words: nothing goes. Null ids stay null. Spans are checked against the text at their coordinates: they
-    must lie inside it and cover length words at least. Other columns are not read.
+    length words: nothing goes. Null ids stay null. Words whose sequence isn't the one at the source of their path
+    stay, whatever their hashes say. Other columns are not read.
     """
-    found = repeated_spans(docs, text, ident, length, anchor)
-    rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), row_key(text, ident).alias("key"), F.col(text).alias("text"))
-    joined = rows.join(found.withColumnRenamed("doc_id", "__id"), (rows.key == found.key) & rows.doc_id.eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:
@@ -159,19 +301,17 @@ def without_repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id",
                 starts, ends, at = texts.words()
                 raw = texts.data.tobytes()
                 n_words, n_removed, sha, kept = [], [], [], []
-                for i, spans in enumerate(part.column("spans").to_pylist()):
+                for i, claims in enumerate(part.column("claims").to_pylist()):
                     stay = np.ones(at[i + 1] - at[i], bool)
-                    for s in spans or ():
-                        if not (s["end"] <= len(stay) and s["end"] - s["start"] >= length):
-                            raise ValueError(f"span {s} does not fit its document of {len(stay)} words")
-                        stay[s["start"] : s["end"]] = False
+                    for a, b in _merged(claims, raw, starts, ends, at[i], at[i + 1]):
+                        stay[a:b] = False
                     use = np.flatnonzero(stay) + at[i]
                     words = b" ".join([raw[a:b] for a, b in zip(starts[use].tolist(), ends[use].tolist(), strict=True)])
                     n_words.append(len(stay))
                     n_removed.append(len(stay) - len(use))
                     sha.append(hashlib.sha256(words).hexdigest())
-                    kept.append(words)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha), pa.array(kept if with_kept else [None] * len(kept), pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    kept.append(words if with_kept else None)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = _joined(docs, text, ident, length, anchor, "left").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out if with_kept else out.drop("kept")

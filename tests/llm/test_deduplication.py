@@ -60,6 +60,50 @@ def test_substring_dedup_equals_brute_force(spark, seed):
     assert sum(x[2] for x in expected) > 100
 
 
+def thue_morse(n):
+    """Letters a and b in an order whose polynomial hash modulo 2**64 is that of the same with a and b exchanged."""
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_only_hash_alike_stay(spark):
+    word = thue_morse(1024)
+    same = [f"w{i}" for i in range(34)]
+    rows = [(1, " ".join([*same, word])), (2, " ".join([*same, word.translate(str.maketrans("ab", "ba"))]))]
+    assert [r.n_removed for r in substring.without_repeats(table(spark, rows)).collect()] == [0, 0]
+    raw = b"a b c d"
+    starts, ends = np.array([0, 2, 4, 6]), np.array([1, 3, 5, 7])
+    good = substring._digest(raw, starts, ends, 1, 3)
+    assert substring._merged([{"start": 1, "end": 3, "digest": good}, {"start": 0, "end": 2, "digest": good}, {"start": 2, "end": 9, "digest": good}], raw, starts, ends, 0, 4) == [(1, 3)]
+
+
+def test_spans_are_disjoint(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    got = substring.repeated_spans(table(spark, [(1, text), (2, text), (3, "x " + text + " y"), (4, "other")])).collect()
+    assert sorted((r.doc_id, [tuple(s) for s in r.spans]) for r in got) == [(1, [(0, 80)]), (2, [(0, 80)]), (3, [(1, 81)])]
+
+
+def test_copies_compact_to_one_path(spark):
+    """A long copied text is one path, however many anchors it has; where two texts part, paths end."""
+    from rangeloom.llm.common import row_key
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(400)) for x in "abc")
+    rows = table(spark, [(1, a), (2, a), (3, a), (4, f"{b} {c}"), (5, f"{b} {c}"), (6, c)]).select("doc_id", row_key().alias("key"), "text")
+    _, _, vertices = substring.graph(rows, 35, 16)
+    found = sorted((r.source.doc_id, r.source.start, r.n) for r in substring.compacted(vertices).collect())
+    assert found == [(1, 0, 366), (4, 0, 400), (4, 400, 366)] and vertices.count() > 20
+
+
+def test_span_hashes():
+    from rangeloom.llm.common import span_hashes
+
+    texts = [b"", b"a", b"b", b"a\x00", b"abcdefgh", b"abcdefghi", b"x" * 64, b"x" * 65, b"x" * 2000, thue_morse(1024).encode(), thue_morse(1024).translate(str.maketrans("ab", "ba")).encode()]
+    ends = np.cumsum([len(t) for t in texts])
+    hashes = span_hashes(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends, 5)
+    assert len(set(hashes.tolist())) == len(texts)
+    alone = [span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), 5)[0] for t in texts]
+    assert hashes.tolist() == alone
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring.without_repeats(table(spark, [])).count() == 0
     assert [tuple(r)[1:3] for r in substring.without_repeats(table(spark, [(1, None)])).collect()] == [(0, 0)]

@@ -5,8 +5,8 @@ seen, q of them different, costs -log2(count(s) / (n + q)) if s was seen there,
 -log2(q / (n + q)) and its cost one order lower; below order 0 a byte costs 8 bits. A text's code length in a
 language is the exact sum, and the shortest code names the language.
 
-The costs of all languages lie side by side in one table: a row for each pair of context and byte, where a
-context is any pair of bytes or a triple that was seen. Scoring a byte is two array reads.
+The trees are sorted arrays of what was seen, so they grow with the samples alone. A text's grams of four bytes are
+looked up once each, however often they come.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from rangeloom.llm.common import steps, text_array, texts_of
 
 #: Bytes of text a language's tree is fitted on, about: rows in order of a hash until they are reached.
 SAMPLE_BYTES = 4 << 20
-#: Triples of bytes kept as contexts at most, those with the largest shares of their languages.
-MAX_CONTEXTS = 30_000
 PAD = 0x0A
 #: A text is in none of the languages if its bits a byte are beyond so many times this quantile of the training texts'.
 RATE_QUANTILE, REACH = 0.999, 2.0
@@ -42,6 +40,13 @@ def padded(texts) -> tuple[np.ndarray, np.ndarray]:
     return flat, place
 
 
+def _grams(texts) -> np.ndarray:
+    """Each text byte with the three before it, as a number, the byte itself lowest."""
+    flat, place = padded(texts)
+    wide = flat.astype(np.uint32)
+    return (wide[place - 3] << 24) | (wide[place - 2] << 16) | (wide[place - 1] << 8) | wide[place]
+
+
 def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """lang, gram (four bytes as a number, the last lowest), n."""
 
@@ -51,85 +56,58 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 names = part.column("lang").to_pylist()
                 for name in sorted(set(names)):
                     own = part.filter(pa.array([x == name for x in names]))
-                    flat, place = padded(texts_of(own.column("text")))
-                    wide = flat.astype(np.uint32)
-                    gram = (wide[place - 3] << 24) | (wide[place - 2] << 16) | (wide[place - 1] << 8) | wide[place]
-                    grams, n = np.unique(gram, return_counts=True)
+                    grams, n = np.unique(_grams(texts_of(own.column("text"))), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, gram bigint, n bigint")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Order:
+    """A language's frozen counts after contexts of one length: what was seen, in order, and what it costs."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int):
+        self.order, self.mask = order, np.uint32((1 << 8 * (order + 1)) - 1)
+        self.seen, at = np.unique(grams & self.mask, return_inverse=True)
+        times = np.bincount(at, n, len(self.seen))
+        self.contexts, at = np.unique(self.seen >> np.uint32(8), return_inverse=True)
+        total, kinds = np.bincount(at, times, len(self.contexts)), np.bincount(at, minlength=len(self.contexts))
+        self.known = np.log2(total + kinds)[at] - np.log2(times)
+        self.escape = np.log2(total + kinds) - np.log2(kinds)
+
+    def cost(self, grams: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Bits of each gram's last byte after the ones before it; lower: one order lower."""
+        own = grams & self.mask
+        at, same = _found(self.contexts, own >> np.uint32(8))
+        out = lower + np.where(same, self.escape[at], 0.0)
+        at, same = _found(self.seen, own)
+        return np.where(same, self.known[at], out)
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
 class Trees:
-    """Frozen cost table of all languages."""
+    """Frozen context trees of all languages: every context and byte of the samples, nothing else, so a language has at most
+    four entries for each byte of its sample."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts, key=lambda x: x.encode())
-        seen = np.zeros(256, bool)
-        seen[PAD] = True
-        for grams, _ in counts.values():
-            for k in (0, 8, 16, 24):
-                seen[(grams >> k) & 255] = True
-        used = np.flatnonzero(seen)
-        size = len(used) + 1  # the last symbol: any byte that no sample has
-        self.symbol = np.full(256, len(used), np.int32)
-        self.symbol[used] = np.arange(len(used))
-        self.size = size
-        total = np.zeros(size**3)
-        by_lang = []
-        for name in self.langs:
-            grams, n = counts[name]
-            s = [self.symbol[(grams >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-            by_lang.append((s, n.astype(float)))
-            total += np.bincount((s[0] * size + s[1]) * size + s[2], n / max(n.sum(), 1), size**3)
-        kept = np.argsort(-total, kind="stable")[:max_contexts]
-        kept = np.sort(kept[total[kept] > 0])
-        #: First row of each triple's context: its own, or that of its last pair.
-        self.row = ((np.arange(size**3) % size**2) * size).astype(np.int32)
-        self.row[kept] = (size**3 + np.arange(len(kept)) * size).astype(np.int32)
-        nth = np.full(size**3, -1)
-        nth[kept] = np.arange(len(kept))
-        self.cost = np.zeros((size**3 + len(kept) * size, len(self.langs)), np.float32)
-        for i, (s, n) in enumerate(by_lang):
-            lower = np.full(size, 8.0)
-            for order in range(4):
-                context = np.zeros(len(n), np.int64)
-                for x in s[3 - order : 3]:
-                    context = context * size + x
-                if order == 3:
-                    own = nth[context]
-                    use = own >= 0
-                    counted = np.bincount(own[use] * size + s[3][use], n[use], len(kept) * size).reshape(-1, size)
-                    below = lower.reshape(size**2, size)[kept % size**2]
-                else:
-                    counted = np.bincount(context * size + s[3], n, size ** (order + 1)).reshape(-1, size)
-                    below = np.tile(lower.reshape(-1, size), (size, 1)) if order else lower.reshape(1, size)
-                cost = self._coded(counted, below)
-                if order == 2:
-                    self.cost[: size**3, i] = cost.ravel()
-                elif order == 3:
-                    self.cost[size**3 :, i] = cost.ravel()
-                lower = cost.ravel()
-
-    @staticmethod
-    def _coded(counted: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Bits of each byte after each context; a context never seen costs what the shorter one does."""
-        n, q = counted.sum(1, keepdims=True), (counted > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            known, escape = np.log2(n + q) - np.log2(counted), np.log2(n + q) - np.log2(q)
-        return np.where(n == 0, below, np.where(counted > 0, known, escape + below))
+        self.trees = [[Order(counts[name][0].astype(np.uint32), counts[name][1], k) for k in range(4)] for name in self.langs]
 
     def code_lengths(self, texts) -> np.ndarray:
-        """Bits of each text in each language."""
+        """Bits of each text in each language: looked up once for each different gram."""
         out = np.zeros((len(texts), len(self.langs)))
         full = np.flatnonzero(np.diff(texts.offsets))
         if len(full):
-            flat, place = padded(texts)
-            s = self.symbol[flat]
-            context = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
-            rows = (self.row[context] + s[3:])[place - 3]
-            out[full] = np.add.reduceat(self.cost[rows], texts.offsets[full], axis=0, dtype=np.float64)
+            asked, at = np.unique(_grams(texts), return_inverse=True)
+            for i, orders in enumerate(self.trees):
+                cost = np.full(len(asked), 8.0)
+                for order in orders:
+                    cost = order.cost(asked, cost)
+                out[full, i] = np.add.reduceat(cost[at], texts.offsets[full])
         return out
 
 
@@ -196,7 +174,7 @@ def identified(docs: DataFrame, trees: Trees | None, text: str = "text", with_ra
     The text alone is read; columns of docs named lang_pred or score are replaced. Ties: the first name wins.
     with_rate adds rate, the bits a byte of the text in the predicted language, 0 where nothing was learned."""
     added = {"lang_pred": "string", "score": "double"} | ({"rate": "double"} if with_rate else {})
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample: see Trees
     rest = [c for c in docs.columns if c not in added]
     schema = StructType(list(docs.select(*rest).schema.fields))
     for name, kind in added.items():

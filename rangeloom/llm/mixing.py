@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     rows = by_source.withColumn("w", weight.cast("bigint"))
     # Everything is a whole number until the last division, so results don't depend on the order of sums.
     big = "decimal(38,0)"
-    filling = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").isNull(), "source")
+    step = math.lcm(*weights)
+    filling = Window.orderBy(F.col("source_size").cast(big) * (F.lit(step) / F.col("w")).cast("bigint"), F.col("source").isNull(), "source")
     earlier = filling.rowsBetween(Window.unboundedPreceding, -1)
     everyone = Window.partitionBy()
     rows = rows.withColumn("place", F.row_number().over(filling)).withColumn("left", F.sum("source_size").over(everyone) - most * F.coalesce(F.sum("source_size").over(earlier), F.lit(0)))

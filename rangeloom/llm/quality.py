@@ -18,7 +18,8 @@ LOST_SHARE = 0.5
 #: A line of so many words or fewer that has no end mark is a fragment.
 FRAGMENT_WORDS = 2
 
-# Phrases, lower case, that mark a line as boilerplate.
+# Phrases, lower case, that mark a line as boilerplate; the usual wording of site notices in English, then of
+# the same notices in German, Spanish and French.
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -35,6 +36,24 @@ BOILERPLATE = (
     "sign up for our",
     "click here",
     "powered by",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "verwendung von cookies",
+    "newsletter abonnieren",
+    "klicken sie hier",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos de uso",
+    "uso de cookies",
+    "suscríbete a nuestro",
+    "haga clic aquí",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "utilisation de cookies",
+    "abonnez-vous à notre",
+    "cliquez ici",
 )
 
 PUNCTUATION = r"[!#$%&*+/<=>@\\\[\]^_`{|}~]"

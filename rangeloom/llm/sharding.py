@@ -106,5 +106,6 @@ def with_shards(docs: DataFrame, limit: int = SHARD_BYTES, text: str = "text", i
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, text: str = "text", ident: str = "doc_id") -> None:
-    """One folder a shard below path."""
-    with_shards(docs, limit, text, ident).repartition("shard").write.partitionBy("shard").parquet(path)
+    """One folder a shard below path, named s_ and the shard's name, so that it is read back as text and never empty."""
+    named = with_shards(docs, limit, text, ident).withColumn("shard", F.concat(F.lit("s_"), "shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(path)

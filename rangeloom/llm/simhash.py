@@ -19,6 +19,8 @@ from rangeloom.llm.common import LOWER, U, long_array, row_key, steps, texts_of,
 from rangeloom.llm.components import components, local_stars
 
 DISTANCE = 3
+#: Fingerprints at one anchor that are compared each with each; of more, see close_pairs.
+CROWD = 512
 
 #: SYNDROME[k][byte]: exclusive or of the places (from 1) of the bits of byte k of a 31-bit word.
 SYNDROME = np.zeros((4, 256), np.uint8)
@@ -95,7 +97,28 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def close_pairs(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs under one key within distance; keys are sorted."""
+    """Positions of pairs under one key within distance; keys are sorted. In a crowd only those are compared that agree in one
+    of the four bytes of the half that the key doesn't speak of, as any two within three bits do."""
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(cut, len(keys)))
+    crowds = np.flatnonzero(size > CROWD)
+    alone = np.ones(len(keys), bool)
+    pairs = []
+    for i in crowds.tolist():
+        own = np.arange(cut[i], cut[i] + size[i])
+        alone[own] = False
+        other = prints[own] >> (U(0) if (int(keys[cut[i]]) >> 32) & 1 else U(32))
+        for k in range(4):
+            byte = (other >> U(8 * k)) & U(255)
+            order = np.argsort(byte, kind="stable")
+            pairs.append([own[order][x] for x in _compared(byte[order], prints[own[order]], distance)])
+    rest = np.flatnonzero(alone)
+    pairs.append([rest[x] for x in _compared(keys[rest], prints[rest], distance)])
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def _compared(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs under one key within distance; keys are sorted."""
     found_a, found_b = [], []
     at, d = np.arange(len(keys)), 0
     while True:
@@ -191,6 +214,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 
 def one_of_each(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id (see near_duplicates)."""
-    stay = near_duplicates(docs, text, ident).where("stays").select(F.col("key").alias("__key")).distinct()
+    stay = near_duplicates(docs, text, ident).where("stays").select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).distinct()
     keyed = docs.withColumn("__key", row_key(text, ident))
-    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    same = (keyed["__key"] == stay["__key"]) & keyed[ident].cast("bigint").eqNullSafe(stay["__id"])
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["__key", ident]).drop("__key")

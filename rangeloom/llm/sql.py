@@ -81,9 +81,14 @@ SELECT doc_id, size, source_size, target, (floor(rate) + (coin < rate - floor(ra
 
 OP6 = mixing_sql()
 
-OP10 = f"""
+def sharding_sql(limit: int) -> str:
+    """The shortest prefix of each hash that fits limit, from the sums of all prefixes."""
+    return f"""
 WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
 p AS (SELECT h, n AS depth, h >> (60 - n) AS prefix, size FROM d, (SELECT unnest(range(0, 61)) AS n)),
-b AS (SELECT depth, prefix FROM p GROUP BY depth, prefix HAVING sum(size) <= {sharding.SHARD_BYTES} OR count(*) = 1),
+b AS (SELECT depth, prefix FROM p GROUP BY depth, prefix HAVING sum(size) <= {limit} OR count(*) = 1),
 f AS (SELECT h, min(depth) AS depth FROM p JOIN b USING (depth, prefix) GROUP BY h)
 SELECT doc_id, size, right(lpad(bin(h), 60, '0'), 60)[1:f.depth] AS shard, f.depth::INT AS depth FROM d JOIN f USING (h)"""
+
+
+OP10 = sharding_sql(sharding.SHARD_BYTES)

@@ -22,8 +22,12 @@ from rangeloom.llm.common import LOWER, U, mix, row_key, steps, texts_of
 Q = 12
 #: Edits allowed for each byte of an item.
 EDIT_SHARE = 0.05
-#: Bytes of items that one block holds at most, one longer item aside.
-BLOCK_BYTES = 16 << 20
+#: Bytes of items that one block holds at most, one longer item aside. A block as built has about 30 times as many.
+BLOCK_BYTES = 2 << 20
+#: Pairs of equal q-grams that are listed at once.
+PAIRS = 1 << 20
+#: Cells of one row of the alignments that are made at once.
+CELLS = 1 << 18
 
 PLAIN = LOWER.copy()
 for _b in range(128):
@@ -74,90 +78,114 @@ class Items:
         for i, text in enumerate(self.texts):
             own = grams(np.frombuffer(text, np.uint8))
             codes.append(own)
-            owner.append(np.full(len(own), i))
-            place.append(np.arange(len(own)))
+            owner.append(np.full(len(own), i, np.int32))
+            place.append(np.arange(len(own), dtype=np.int32))
         codes, owner, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, owner, place))
         order = np.argsort(codes, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.codes, self.first = np.unique(codes[order], return_index=True)
         self.codes = self.codes.astype(np.uint64)
-        self.first = np.append(self.first, len(order))
+        self.first = np.append(self.first, len(order)).astype(np.int32)
+        #: A match and the bands around it lie within so many bytes.
+        self.reach = int((size + 2 * self.width + 4 * self.budget).max(initial=0)) + Q
         bits = max(16, int(8 * max(1, len(self.codes))).bit_length())
         self.shift = U(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[self.codes >> self.shift] = True
 
-    def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shared q-grams: place in flat, item, place in the item."""
+    def hits(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in flat whose q-gram some item has, and which q-gram it is."""
         codes = grams(flat)
         at = np.flatnonzero(self.maybe[codes >> self.shift])
         nth = np.minimum(np.searchsorted(self.codes, codes[at]), max(len(self.codes) - 1, 0))
         same = self.codes[nth] == codes[at] if len(self.codes) else np.zeros(0, bool)
-        at, nth = at[same], nth[same]
-        n = self.first[nth + 1] - self.first[nth]
-        every = np.repeat(self.first[nth] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.owner[every], self.place[every]
+        return at[same], nth[same]
 
     def matches(self, flat: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, edits) of verified matches, the best of each pair."""
-        at, item, place = self.hits(flat)
-        if not len(at):
-            return []
-        text = np.searchsorted(begin, at, "right") - 1
-        # Diagonals from 0: an item's end may lie at a text's start.
-        diagonal = at - begin[text] - place + (1 << 32)
-        width, budget = self.width[item], self.budget[item]
-        band = diagonal // width
-        also = np.flatnonzero(diagonal - band * width < budget)
-        rows = np.stack([np.concatenate([text, text[also]]), np.concatenate([item, item[also]]), np.concatenate([band, band[also] - 1]), np.concatenate([place, place[also]])], 1)
-        order = np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))
-        rows = rows[order]
-        new_place = np.ones(len(rows), bool)
-        new_place[1:] = (rows[1:] != rows[:-1]).any(1)
-        rows = rows[new_place]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
-        first = np.flatnonzero(new)
-        shared = np.diff(np.append(first, len(rows)))
+        """(text, item, edits) of verified matches, the best of each pair.
+
+        Where q-grams recur in an item and in a text, pairs of them are many more than either; they are listed for a stretch of
+        text at a time. Stretches overlap by more than a match and its bands take, so each match lies whole in one."""
+        at, nth = self.hits(flat)
         best: dict[tuple[int, int], int] = {}
-        for i in first[shared >= self.least[rows[first, 1]]]:
-            t, it, b = (int(x) for x in rows[i, :3])
-            k, w = int(self.budget[it]), int(self.width[it])
-            low = b * w - (1 << 32)
-            own = flat[begin[t] : begin[t + 1] - 1]
-            edits = aligned(self.texts[it], own[max(low - k, 0) : max(low + w + 2 * k + len(self.texts[it]), 0)].tobytes(), k)
-            if edits is not None and edits < best.get((t, it), k + 1):
-                best[t, it] = edits
+        pairs = np.concatenate([[0], np.cumsum(self.first[nth + 1] - self.first[nth], dtype=np.int64)])
+        i = 0
+        while i < len(at):
+            j = max(int(np.searchsorted(pairs, pairs[i] + PAIRS, "right")) - 1, int(np.searchsorted(at, at[i] + 2 * self.reach)))
+            self._stretch(flat, begin, at[i:j], nth[i:j], best)
+            i = j if j >= len(at) else max(int(np.searchsorted(at, at[j] - self.reach)), i + 1)
         return [(t, it, e) for (t, it), e in best.items()]
 
-
-def aligned(item: bytes, region: bytes, budget: int) -> int | None:
-    """Least edits between item and a substring of region, or None above budget. The region is a band's: as much
-    longer than the item as the band is wide, so one row of the alignment holds all its diagonals."""
-    if item in region:
-        return 0
-    if not budget:
-        return None
-    a, b = np.frombuffer(item, np.uint8), np.frombuffer(region, np.uint8)
-    # Column j of row i is region place i + j - budget: diagonals from -budget to what the region leaves.
-    width = max(len(b) - len(a), 0) + 2 * budget + 1
-    far = len(a) + len(b) + 1
-    steps_ = np.arange(width)
-    place = steps_ - budget
-    row = np.where((place >= 0) & (place <= len(b)), 0, far)
+    def _stretch(self, flat: np.ndarray, begin: np.ndarray, at: np.ndarray, nth: np.ndarray, best: dict[tuple[int, int], int]) -> None:
+        n = self.first[nth + 1] - self.first[nth]
+        every = np.repeat(self.first[nth] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at, item, place = np.repeat(at, n), self.owner[every], self.place[every]
+        text = np.searchsorted(begin, at, "right") - 1
+        diagonal = at - begin[text] - place  # below 0 where an item's start lies before a text's
+        width, budget = self.width[item], self.budget[item]
+        band = diagonal // width
+        also = diagonal - band * width < budget  # the band before reaches as far
+        # One number for each text, item and band: how often it comes is how many q-grams they share.
+        first_text, first_band = int(text.min()), int(band.min()) - 1
+        n_bands = int(band.max()) - first_band + 1
+        code = ((text - first_text) * len(self.texts) + item) * n_bands + (band - first_band)
+        code, shared = np.unique(np.concatenate([code, code[also] - 1]), return_counts=True)
+        pair, band = np.divmod(code, n_bands)
+        owner, item = np.divmod(pair, len(self.texts))
+        enough = shared >= self.least[item]
+        passed = np.stack([owner + first_text, item, band + first_band], 1)[enough]
+        for it in np.unique(passed[:, 1]).tolist():
+            self._verify(flat, begin, it, passed[passed[:, 1] == it], best)
+
+    def _verify(self, flat: np.ndarray, begin: np.ndarray, it: int, bands: np.ndarray, best: dict[tuple[int, int], int]) -> None:
+        """Aligns one item within its bands (text, item, band), many at a time; a text that holds it as it is needs no more."""
+        item, k, w = self.texts[it], int(self.budget[it]), int(self.width[it])
+        texts, low = bands[:, 0], bands[:, 2] * w
+        end = begin[texts + 1] - 1
+        starts = np.minimum(begin[texts] + np.maximum(low - k, 0), end)
+        ends = np.minimum(begin[texts] + np.maximum(low + w + 2 * k + len(item), 0), end)
+        for t, a, b in zip(texts.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            if best.get((t, it)) != 0 and item in flat[a:b].tobytes():
+                best[t, it] = 0
+        left = np.flatnonzero([best.get((t, it)) != 0 for t in texts.tolist()]) if k else []
+        step = max(1, CELLS // (w + 5 * k + 1))
+        for i in range(0, len(left), step):
+            use = left[i : i + step]
+            for t, edits in zip(texts[use].tolist(), aligned(item, flat, starts[use], ends[use], k).tolist(), strict=True):
+                if edits <= min(k, best.get((t, it), k)):
+                    best[t, it] = edits
+
+
+def aligned(item: bytes, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> np.ndarray:
+    """For each region of flat the least edits between item and a substring of it, budget + 1 for more. A region is a band's:
+    as much longer than the item as the band is wide, so one row of the alignment holds all its diagonals."""
+    a, sizes = np.frombuffer(item, np.uint8), (ends - starts)[:, None]
+    out = np.full(len(starts), budget + 1)
+    # Column j of row i is region place i + j - budget: diagonals from -budget to what the regions leave.
+    width = max(int(sizes.max(initial=0)) - len(a), 0) + 2 * budget + 1
+    far = np.int32(len(a) + int(sizes.max(initial=0)) + 1)
+    column = np.arange(width, dtype=np.int32)
+    who = np.arange(len(starts))
+    place = column - budget
+    row = np.where((place >= 0) & (place <= sizes), np.int32(0), far)
+    padded = np.append(flat, np.zeros(1, np.uint8))
+    edge = np.full((len(starts), 1), far, np.int32)
     for i in range(1, len(a) + 1):
-        place = i + steps_ - budget
-        inside = (place >= 1) & (place <= len(b))
-        differ = np.ones(width, np.int64)
-        differ[inside] = b[place[inside] - 1] != a[i - 1]
-        down = np.append(row[1:], far) + 1
-        now = np.minimum(np.where(inside, row + differ, far), down)
-        now[(place < 0) | (place > len(b))] = far
-        row = np.minimum.accumulate(now - steps_) + steps_
-        row[(place < 0) | (place > len(b))] = far
-        if row.min() > budget:
-            return None
-    return int(row.min())
+        place = i + column - budget
+        own = padded[np.clip(starts[who][:, None] + place - 1, 0, len(flat))]
+        outside = (place < 0) | (place > sizes[who])
+        now = np.where((place >= 1) & ~outside, row + (own != a[i - 1]), far)
+        now = np.minimum(now, np.concatenate([row[:, 1:], edge[: len(row)]], 1) + 1)
+        now[outside] = far
+        row = np.minimum.accumulate(now - column, 1) + column
+        row[outside] = far
+        open_ = row.min(1) <= budget
+        if not open_.all():
+            row, who = row[open_], who[open_]
+            if not len(who):
+                return out
+    out[who] = row.min(1)
+    return out
 
 
 def blocks(benchmark: DataFrame, text: str = "text", ident: str = "item_id", limit: int = BLOCK_BYTES):
@@ -178,7 +206,7 @@ def blocks(benchmark: DataFrame, text: str = "text", ident: str = "item_id", lim
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id", item_text: str = "text", item: str = "item_id") -> DataFrame:
     """doc_id, item_id, edits: a row for each row of docs and each item that it holds within the item's edit budget.
 
-    Null and empty texts hold nothing. Items of fewer than Q plain bytes are no evidence and aren't searched. Rows
+    Null and empty texts hold nothing. Items of fewer than Q plain bytes are no evidence and aren't searched: see unsearched. Rows
     that repeat on either side repeat their matches. Null ids stay null. Other columns are not read.
     """
     rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), row_key(text, ident).alias("key"), F.col(text).alias("text"))
@@ -200,6 +228,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "doc_id bigint, item_id bigint, edits int")
 
 
+def unsearched(benchmark: DataFrame, text: str = "text", ident: str = "item_id") -> DataFrame:
+    """item_id, plain_bytes of the items that leaks() doesn't look for, null ones included: a word or a number of an answer
+    stands in any text, so finding it there says nothing."""
+    plain_text = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "))
+    return benchmark.select(F.col(ident).cast("bigint").alias("item_id"), F.octet_length(plain_text).alias("plain_bytes")).where(F.col("plain_bytes") < Q)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item: str = "item_id") -> DataFrame:
     """docs without the rows that hold an item (see leaks). Rows pass where they lie; nothing is shuffled."""
     for block in blocks(benchmark, item_text, item):

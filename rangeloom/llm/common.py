@@ -6,6 +6,7 @@ words can be cut on UTF-8 bytes without decoding.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +44,18 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def mounted_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one, as a path that files can be mapped from: the folder must be mounted, as NFS or the like
+    is, on the driver and on all executors."""
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    plain = path.removeprefix("file:")
+    if "://" in plain.removeprefix("//"):
+        raise ValueError(f"files can't be mapped from {path}: spark.checkpoint.dir must be a mounted folder here")
+    plain = "/" + plain.lstrip("/")
+    os.makedirs(plain, exist_ok=True)
+    return plain
+
+
 def discard(df: DataFrame) -> None:
     """Delete what written() left for df; nothing may read it afterwards."""
     _delete(df.sparkSession, df.written_to)
@@ -75,7 +88,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """A 64-bit hash of each span of bytes: eight at a time, the mixed state carried from one to the next. Unlike one
     polynomial modulo 2**64 it has no inputs that collide whatever the seed."""
     sizes = ends - starts
-    out = mix(sizes.astype(np.uint64) + U(seed) * U(0x9E3779B97F4A7C15))
+    out = mix(sizes.astype(np.uint64) + U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
     live = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN))

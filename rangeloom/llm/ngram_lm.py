@@ -8,28 +8,24 @@ A query is a successor search within the context's children. A child has the dis
 words before w,  p(w | u) = share(u w) + left(u) * p(w | shorter u),  and p(w) = (c + 0.5) / (N + 0.5 * (V + 1)).
 
 Counts cover all training texts. An n-gram of two words and more becomes a child from min_count on; what the
-others had stays in their context's left share. Each level is one raw file, built in the driver's disk from
-sorted chunks in bounded memory, sent to the executors as a Spark file and memory-mapped there.
+others had stays in their context's left share. Each level is one raw file in the folder that the cluster shares,
+built from sorted chunks in bounded memory; workers map it from there, so there is one copy and pages are read on demand.
 """
 
 from __future__ import annotations
 
-import atexit
 import functools
 import math
 import os
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rangeloom.llm.common import LOWER, Rolling, Texts, U, discard, long_array, mix, steps, texts_of, written
+from rangeloom.llm.common import LOWER, Texts, U, discard, long_array, mix, mounted_dir, span_hashes, steps, texts_of, written
 from rangeloom.llm.eliasfano import Builder, Sequence, Shape
 
 ORDER = 3
@@ -38,6 +34,7 @@ DISCOUNT = 0.75
 #: Steps of the 16-bit logarithms: 1 / SCALE of a power of ten.
 SCALE = 4096
 SIGN = U(1 << 63)
+SEED = 21
 #: n-grams a task holds before it sends them on.
 HELD = 1 << 20
 CHUNK = 1 << 18
@@ -52,10 +49,10 @@ def code(share: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(share, 1e-16)) * SCALE), 0, 65535).astype(np.uint16)
 
 
-
+#: The end's hash: a line feed's, which no word holds.
 @functools.cache
-def roll() -> Rolling:
-    return Rolling(21)
+def end_hash() -> np.uint64:
+    return span_hashes(np.array([10], np.uint8), np.array([0]), np.array([1]), SEED)[0]
 
 
 DECODED = 10.0 ** (-np.arange(65536) / SCALE)
@@ -65,9 +62,9 @@ DECODED[65535] = 0.0
 class Level:
     """One level's file. parents is the size of the level above; vocabulary has none."""
 
-    def __init__(self, n: int, parents: int, words: int):
+    def __init__(self, n: int, parents: int, words: int, folder: str):
         self.n, self.parents, self.words = n, parents, words
-        self.name = f"ngrams-{uuid.uuid4().hex}"
+        self.path = os.path.join(folder, f"ngrams-{uuid.uuid4().hex}")
         if parents * words >= 1 << 63:
             raise ValueError("contexts times words must stay below 2**63")
         self.keys = Shape(n, parents * words if parents else 1 << 64)
@@ -87,10 +84,9 @@ class Level:
         return {k: raw[at : at + size * np.dtype(kind).itemsize].view(kind) for k, (at, kind, size) in self.layout.items()}
 
     def open(self) -> Mapped:
-        path = SparkFiles.get(self.name)
-        if _opened.get(self.name) is None:
-            _opened[self.name] = Mapped(self, path)
-        return _opened[self.name]
+        if _opened.get(self.path) is None:
+            _opened[self.path] = Mapped(self)
+        return _opened[self.path]
 
 
 _opened: dict[str, Mapped] = {}
@@ -99,8 +95,8 @@ _opened: dict[str, Mapped] = {}
 class Mapped:
     """A level as a worker sees it: pages of the file, read on demand."""
 
-    def __init__(self, level: Level, path: str):
-        a = level.arrays(np.memmap(path, np.uint8, "r"))
+    def __init__(self, level: Level):
+        a = level.arrays(np.memmap(level.path, np.uint8, "r"))
         self.level, self.keys = level, Sequence(level.keys, a, "keys")
         if level.parents:
             self.pointers = Sequence(level.pointers, a, "pointers")
@@ -128,13 +124,13 @@ class Mapped:
 class Tokens:
     """Word ids of texts, an end after each text; a word that training doesn't have is -1."""
 
-    def __init__(self, texts, roll: Rolling, vocabulary: Mapped | None):
+    def __init__(self, texts, vocabulary: Mapped | None):
         lower = Texts(LOWER[texts.data], texts.offsets)
         starts, ends, at = lower.words()
-        hashes = roll.spans(roll.prefix(roll.table[lower.data]), starts, ends)
+        hashes = span_hashes(lower.data, starts, ends, SEED)
         self.begin = at + np.arange(len(at))  # of each text's tokens, one end each
         place = np.arange(len(starts)) + np.repeat(np.arange(len(texts)), np.diff(at))
-        self.hashes = np.full(len(starts) + len(texts), end_hash(roll))
+        self.hashes = np.full(len(starts) + len(texts), end_hash())
         self.hashes[place] = hashes
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.begin))
         if vocabulary:
@@ -142,11 +138,6 @@ class Tokens:
             self.ids = vocabulary.keys.find(asked)[back]
 
 
-def end_hash(roll: Rolling) -> np.uint64:
-    """The end's hash: a line feed's, which no word holds."""
-    return roll.spans(roll.prefix(roll.table[np.array([10])]), np.array([0]), np.array([1]))[0]
-
-
 class Model:
     def __init__(self, levels: list[Level], total: int):
         self.levels, self.total = levels, total
@@ -270,32 +261,37 @@ def _in_order(counted: DataFrame):
         yield np.frombuffer(row.key, np.uint64), np.frombuffer(row.n, np.int64)
 
 
-def _file(level: Level, folder: str) -> tuple[str, dict[str, np.ndarray]]:
-    path = os.path.join(folder, level.name)
-    return path, level.arrays(np.memmap(path, np.uint8, "w+", shape=max(level.bytes, 64)))
+def _file(level: Level) -> dict[str, np.ndarray]:
+    return level.arrays(np.memmap(level.path, np.uint8, "w+", shape=max(level.bytes, 64)))
+
+
+def _scratch(level: Level, what: str, kind, n: int) -> np.memmap:
+    """A table beside a level's file that is needed only while levels are built: its name is gone at once, its bytes with it."""
+    path = f"{level.path}-{what}"
+    table = np.memmap(path, kind, "w+", shape=max(n, 1))
+    os.unlink(path)
+    return table
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> Model:
     """The model of all texts of docs; a null text is one end. It may be used in this Spark application."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
-    folder = tempfile.mkdtemp(prefix="ngrams-")
-    atexit.register(shutil.rmtree, folder, True)
+    folder = mounted_dir(spark)
 
     def words(part):
-        return Tokens(texts_of(part.column("text")), roll(), None).hashes ^ SIGN
+        return Tokens(texts_of(part.column("text")), None).hashes ^ SIGN
 
     counted = written(_counted(rows, words))
     n, total = counted.agg(F.count("*"), F.sum("n")).first()
-    levels = [Level(n, 0, n)]
-    path, a = _file(levels[0], folder)
+    levels = [Level(n, 0, n, folder)]
+    a = _file(levels[0])
     keys, at = Builder(levels[0].keys, a, "keys"), 0
     for key, times in _in_order(counted):
         keys.add(key ^ SIGN)
         a["count"][at : at + len(key)] = times
         at += len(key)
     keys.done()
-    spark.sparkContext.addFile(path)
     discard(counted)
     model = Model(levels, total or 0)
     above = a["count"]  # how often each context has a next word; the end has none, but no child either
@@ -307,19 +303,18 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_count: in
 
         def ngrams(part, known=known):
             opened = [x.open() for x in known]
-            tokens = Tokens(texts_of(part.column("text")), roll(), opened[0])
+            tokens = Tokens(texts_of(part.column("text")), opened[0])
             context = model.contexts(tokens, opened)[-1][:-1]
             use = np.flatnonzero((tokens.text[1:] == tokens.text[:-1]) & (context >= 0))
             return context[use].astype(np.uint64) * U(known[0].n) + tokens.ids[1:][use].astype(np.uint64)
 
         counted = written(_counted(rows, ngrams).where(F.col("n") >= min_count))
-        level = Level(counted.count(), levels[-1].n, levels[0].n)
-        path, a = _file(level, folder)
+        level = Level(counted.count(), levels[-1].n, levels[0].n, folder)
+        a = _file(level)
         keys, at = Builder(level.keys, a, "keys"), 0
         # What a context's children have together; on disk, as there may be as many contexts as children.
-        size = np.memmap(os.path.join(folder, f"{level.name}-sizes"), np.int64, "w+", shape=max(level.parents, 1))
-        given = np.memmap(os.path.join(folder, f"{level.name}-given"), np.float64, "w+", shape=max(level.parents, 1))
-        own = np.memmap(os.path.join(folder, f"{level.name}-counts"), np.int64, "w+", shape=max(level.n, 1))
+        size, given = _scratch(level, "sizes", np.int64, level.parents), _scratch(level, "given", np.float64, level.parents)
+        own = _scratch(level, "counts", np.int64, level.n)
         for key, times in _in_order(counted):
             keys.add(key)
             parent = (key // U(level.words)).astype(np.int64)
@@ -339,7 +334,6 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, min_count: in
             pointers.add(before + np.cumsum(many))
             before += int(many.sum())
         pointers.done()
-        spark.sparkContext.addFile(path)
         discard(counted)
         levels.append(level)
         above = own
@@ -359,7 +353,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         levels = [x.open() for x in model.levels]
         for batch in batches:
             for part in steps(batch, text):
-                tokens = Tokens(texts_of(part.column(text)), roll(), levels[0])
+                tokens = Tokens(texts_of(part.column(text)), levels[0])
                 count, log = model.score(tokens, levels)
                 begin = tokens.begin[:-1]
                 columns = [

@@ -208,6 +208,22 @@ def test_links_connect_what_three_bits_connect(spark, seed):
     assert same(ours) == same(grouped(prints))
 
 
+def test_crowds_at_an_anchor_lose_no_pair(monkeypatch):
+    draw = np.random.Generator(np.random.PCG64(4))
+    base = draw.integers(0, 1 << 64, 60, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in draw.choice(64, k, replace=False)) for k in (0, 1, 2, 3, 4) for _ in range(60)], np.uint64)
+    prints = np.unique(np.concatenate([base[:30], np.tile(base, 5) ^ flips]))
+    keys, owner = simhash.anchors(prints)
+    order = np.argsort(keys, kind="stable")
+    keys, own = keys[order], prints[owner[order]]
+    pairs = []
+    for crowd in (10**9, 1):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        a, b = simhash.close_pairs(keys, own, 3)
+        pairs.append({tuple(sorted(p)) for p in zip(own[a].tolist(), own[b].tolist(), strict=True)})
+    assert pairs[0] == pairs[1] and len(pairs[0]) > 100
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200, 300)] + [(7, i) for i in range(1000, 1100)] + [(1050, 2), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -255,13 +271,16 @@ def test_shards_with_text(spark, tmp_path):
     rows = [(i, f"text {i}") for i in range(50)]
     sharding.write_shards(table(spark, rows), str(tmp_path / "out"), 100)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r.doc_id, r.text) for r in back.collect()) == rows and back.select("shard").distinct().count() > 3
+    given = {r.doc_id: f"s_{r.shard}" for r in sharding.with_shards(table(spark, rows), 100).collect()}
+    assert {r.doc_id: (r.text, r.shard) for r in back.collect()} == {i: (t, given[i]) for i, t in rows} and len(set(given.values())) > 3
+    sharding.write_shards(table(spark, rows), str(tmp_path / "one"))
+    assert {r.shard for r in spark.read.parquet(str(tmp_path / "one")).collect()} == {"s_"}
 
 
-@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_line_dedup", "op10_sharding"])
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_line_dedup", "op10_sharding", "sharding_small_limit"])
 def test_query_equals_its_sql(spark, sf, tables, name):
     same_rows(queries.queries()[name](spark, sf), tables, queries.oracle_sql()[name])
-    assert queries.oracle_sql()[name] in (sql.OP3, sql.OP4, sql.OP10)
+    assert queries.oracle_sql()[name] in (sql.OP3, sql.OP4, sql.OP10, sql.sharding_sql(queries.SMALL_SHARD_BYTES))
 
 
 def test_simhash_query_covers_all_documents(spark, sf):

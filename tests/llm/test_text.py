@@ -98,6 +98,27 @@ def test_format_is_reversible_and_masks_assistants(spark):
     assert chat.render(out.sparkSession.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_query_folds_a_real_log(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    log = queries._as_log(rows)
+    kinds = Counter(r.kind for r in log.collect())
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and log.count() > 2.5 * rows.count()
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.messages(log).collect())
+    by = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.conv_id, r.turn, r.role or "", r.text or "")):
+        by.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))
+    assert [(c, *x) for c, _, *x in got] == [(c, *x) for c in sorted(by) for x in by[c]]
+
+
+def test_empty_logs_and_long_texts(spark):
+    kind = "conv_id bigint, seq bigint, turn bigint, kind string, role string, text string, nth int, since int, dropped int, parts int, piece int, at int"
+    assert chat.messages(spark.createDataFrame([], kind)).count() == 0
+    long = "é<|" * 300_000
+    rows = [(1, 1, 0, "message", "assistant", long, 1, 2, 3, 4, 5, 6), (1, 2, 0, "delta", None, "end", 1, 2, 3, 4, 5, 6), (1, 2, 0, "delta", None, "end", 1, 2, 3, 4, 5, 6)]
+    out = chat.render(chat.messages(spark.createDataFrame(rows, kind))).withColumn("under", chat.loss_text()).first()
+    assert out.under == long + "endend"
+
+
 def test_chat_nulls(spark):
     events = spark.createDataFrame([(None, None, None, None, None, None), (1, 1, None, None, "user", None), (1, 1, None, None, "user", None)], "conv_id bigint, seq bigint, turn bigint, kind string, role string, text string")
     assert sorted((r.conv_id or 0, r.role, r.text) for r in chat.messages(events).collect()) == [(0, "", ""), (1, "user", "")]
@@ -210,15 +231,29 @@ def test_no_language_is_lost_by_its_sample(spark):
             assert sum(found[name]) >= min(bound, sum(own)) and sum(found[name]) - max(found[name]) < bound
 
 
-def test_small_languages_keep_their_contexts():
-    def grams(letters, n):
-        made = np.array([int.from_bytes(bytes([a, b, c, d]), "big") for a in letters for b in letters for c in letters for d in letters])
-        return made, np.full(len(made), n)
+def test_trees_keep_every_context_of_many_languages():
+    """A hundred languages with contexts of their own, more than any table of all contexts by all bytes could hold."""
+    import pickle
 
-    trees = langid.Trees({"large": grams(b"abcd", 1000), "small": grams(b"xy", 1)}, max_contexts=20)
-    place = {b: int(trees.symbol[b]) for b in b"abcdxy"}
-    own = [trees.row[(place[a] * trees.size + place[b]) * trees.size + place[c]] >= trees.size**3 for a in b"xy" for b in b"xy" for c in b"xy"]
-    assert all(own) and len(own) == 8
+    import pyarrow as pa
+
+    from rangeloom.llm.common import texts_of
+
+    draw = np.random.Generator(np.random.PCG64(3))
+    texts = {f"l{i:02}": draw.integers(0x20 + i, 0x7F if i < 40 else 0x100 + 40 * i, 4000) for i in range(100)}
+    texts = {k: "".join(map(chr, v)) for k, v in texts.items()}
+    counts = {k: np.unique(langid._grams(texts_of(pa.array([t]))), return_counts=True) for k, t in texts.items()}
+    trees = langid.Trees(counts)
+    assert len(pickle.dumps(trees)) < 100e6 and all(len(o[3].seen) == len(counts[k][0]) for k, o in zip(trees.langs, trees.trees, strict=True))
+    bits = trees.code_lengths(texts_of(pa.array([texts["l07"], texts["l71"], "", texts["l07"]])))
+    assert bits[:2].argmin(1).tolist() == [7, 71] and not bits[2].any() and (bits[0] == bits[3]).all()
+
+
+def test_repeated_rows_ties_and_long_texts_have_a_language(spark):
+    rows = [(1, "the cat", "en", None), (1, "the cat", "en", None), (2, "the cat", "xx", None), (3, "le chat " * 60_000, "fr", None)]
+    docs = table(spark, rows).drop("lang_pred", "score")
+    got = langid.identified(docs, langid.fit(docs)).collect()
+    assert [(r.doc_id, r.lang_pred) for r in got] == [(1, "en"), (1, "en"), (2, "en"), (3, "fr")] and got[0].score == got[2].score
 
 
 def test_held_out_languages(spark, sf):
@@ -277,6 +312,25 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_repetitive_texts_and_items_stay_small():
+    """One letter nine thousand times against an item of a thousand: equal q-grams meet in 9e6 pairs."""
+    import tracemalloc
+
+    items = decontaminate.Items([1, 2, 3], [b"0" * 1000, b"0" * 500 + b"1" * 500, b"ab " * 30])
+    flat = np.concatenate([np.frombuffer(x + b"\0", np.uint8) for x in (b"0" * 9_000, b"ab " * 20, b"0" * 3000 + b"1" * 600)])
+    begin = np.array([0, 9_001, 9_062, 12_663])
+    tracemalloc.start()
+    found = items.matches(flat, begin)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert sorted(found) == [(0, 0, 0), (2, 0, 0), (2, 1, 0)]
+
+
+def test_short_items_are_listed(spark):
+    bench = spark.createDataFrame([(1, None), (2, "  -- "), (3, "Forty-Two"), (4, "é" * 6), (5, "twelve bytes")], "item_id bigint, text string")
+    assert sorted(tuple(r) for r in decontaminate.unsearched(bench).collect()) == [(1, 0), (2, 0), (3, 9)]
+
+
 def test_blocks_of_a_benchmark_find_the_same(spark, sf, monkeypatch):
     whole = {tuple(r) for r in queries.op1_decontaminate(spark, sf).collect()}
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", ("text", "item_id", 2000))
@@ -360,6 +414,13 @@ def test_query_scores_with_every_ngram(spark, sf):
         assert abs(r["score"] - score) <= len(w) / ngram_lm.SCALE
 
 
+def test_words_with_one_polynomial_hash_are_two_words(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    model = ngram_lm.train(table(spark, [(1, word), (2, "x " + word)]))
+    got = ngram_lm.scored(table(spark, [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]), model).collect()
+    assert [r.n_known for r in got] == [2, 1]
+
+
 def test_probabilities_sum_to_one(spark):
     """Over the vocabulary, the end and one unknown word, after every kind of context."""
     import pyarrow as pa
@@ -370,7 +431,7 @@ def test_probabilities_sum_to_one(spark):
     levels = [x.open() for x in model.levels]
     for context in ("", "a ", "a b ", "b c ", "d d ", "zz ", "a zz "):
         texts = texts_of(pa.array([context + x for x in ("a", "b", "c", "d", "unknown", "")]))
-        tokens = ngram_lm.Tokens(texts, ngram_lm.roll(), levels[0])
+        tokens = ngram_lm.Tokens(texts, levels[0])
         _, log = model.score(tokens, levels)
         assert (10 ** log[tokens.begin[:-1] + len(words(context))]).sum() == pytest.approx(1, abs=2e-3)
 

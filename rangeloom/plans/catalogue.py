@@ -424,7 +424,10 @@ def slots_as_predicted(spark, sf_dir):
     slot = _slot(rows)
     columns = ("rank", "name", "size", "slot_id", "slot_offset")
     said = partition.predicted_slots(rows, RANKS, slot).select(*columns)
-    own = functools.reduce(DataFrame.union, [partition.packed(ranges.flatten(partition.share_of(rows, RANKS, k).drop("ordinal", "start")), slot).select(*columns) for k in range(RANKS)])
+    where = f"{shared_dir(spark)}/shares-{uuid.uuid4().hex}"
+    partition.partitioned(rows, RANKS).drop("ordinal", "start").write.parquet(where)  # planned once, packed by each rank
+    shares = [spark.read.parquet(where).where(F.col("rank") == k) for k in range(RANKS)]
+    own = functools.reduce(DataFrame.union, [partition.packed(ranges.flatten(share), slot).select(*columns) for share in shares])
     wrong = checks.differences(said, own).groupBy("rank").agg(F.count("*").alias("n"))
     held = own.groupBy("rank").agg(F.countDistinct("slot_id").alias("n_slots"), F.sum("size").alias("bytes"))
     return held.join(wrong, "rank", "left").select("rank", "n_slots", "bytes", F.coalesce("n", F.lit(0)).alias("surprises"))

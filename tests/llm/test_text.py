@@ -414,6 +414,33 @@ def test_query_scores_with_every_ngram(spark, sf):
         assert abs(r["score"] - score) <= len(w) / ngram_lm.SCALE
 
 
+@pytest.mark.parametrize("min_count, segment", [(1, 100), (2, 150)])
+def test_segments_score_alike(spark, min_count, segment):
+    """Whatever the segments are cut for, contexts that are split over several of them among it."""
+    draw = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(draw.choice(["the", draw.choice(vocab[: draw.randint(1, 400)])]) for _ in range(draw.randint(0, 80)))) for i in range(60)] + [(None, None), (90, "the unseen the"), (91, "the " * 500)]
+    learn = table(spark, [r for r in rows if r[0] != 90])
+    whole, cut = (ngram_lm.train(learn, min_count=min_count, segment=x) for x in (ngram_lm.SEGMENT, segment))
+    assert [x.n for x in whole.levels] == [x.n for x in cut.levels] and whole.total == cut.total
+    assert max((cut.levels[1].address.parts).tolist()) > 1 and cut.levels[1].left and max(len(x.paths) for x in whole.levels[1:]) < min(len(x.paths) for x in cut.levels[1:])
+    for a, b in zip(*(ngram_lm.scored(table(spark, rows), m).collect() for m in (whole, cut)), strict=True):
+        assert (a.doc_id, a.n_known, a.base_score) == (b.doc_id, b.n_known, b.base_score) and a["score"] == pytest.approx(b["score"], abs=1e-3)
+    level = cut.levels[1].open()
+    for i in cut.levels[1].paths:
+        file, n = level.segment(i), int(cut.levels[1].sizes[i])
+        begin, end = file.children(np.arange(cut.levels[1].address.contexts(i)))
+        assert begin[0] == 0 and end[-1] == n and (end >= begin).all() and (begin[1:] == end[:-1]).all()
+
+
+def test_order_of_wide_keys():
+    draw = np.random.Generator(np.random.PCG64(1))
+    segment, key = draw.integers(0, 300, 2000), draw.integers(0, 1 << 62, 2000, dtype=np.uint64)
+    for width, keys in ((62, key), (20, key >> np.uint64(42))):
+        order = ngram_lm.in_order(segment, keys, width)
+        assert [(segment[i], keys[i]) for i in order] == sorted(zip(segment.tolist(), keys.tolist(), strict=True))
+
+
 def test_words_with_one_polynomial_hash_are_two_words(spark):
     word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
     model = ngram_lm.train(table(spark, [(1, word), (2, "x " + word)]))

@@ -4,7 +4,8 @@ Fingerprints of 64 bits link at three or fewer differing bits, so the bits of on
 in one place at most. The anchors of a half are the words of a covering code: the perfect Hamming code of
 length 31 (covering radius 1) beside one plain bit. A fingerprint goes to its nearest anchor, its home, and
 to every anchor that is the home of a word one bit away: the code words within covering radius plus one.
-Linked fingerprints thus meet at the home of either, and are compared there.
+Linked fingerprints thus meet at the home of either, and are compared there. An anchor with very many is dealt
+out once more, to a task for each byte of the other half that two of them can share.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from rangeloom.llm.components import components, local_stars
 DISTANCE = 3
 #: Fingerprints at one anchor that are compared each with each; of more, see close_pairs.
 CROWD = 512
+#: Fingerprints that are compared each with each in any case; of more, see connected.
+DENSE = 4096
+#: Fingerprints that a task holds of one anchor; of more, all are dealt out by bytes of the other half.
+SPLIT = 1 << 17
 
 #: SYNDROME[k][byte]: exclusive or of the places (from 1) of the bits of byte k of a 31-bit word.
 SYNDROME = np.zeros((4, 256), np.uint8)
@@ -97,8 +102,9 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def close_pairs(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs under one key within distance; keys are sorted. In a crowd only those are compared that agree in one
-    of the four bytes of the half that the key doesn't speak of, as any two within three bits do."""
+    """Positions of pairs that connect what all pairs under one key within distance connect; keys are sorted. In a crowd only
+    those are compared that agree in one of the four bytes of the half that the key doesn't speak of, as any two within three
+    bits do."""
     cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.append(cut, len(keys)))
     crowds = np.flatnonzero(size > CROWD)
@@ -107,16 +113,58 @@ def close_pairs(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np
     for i in crowds.tolist():
         own = np.arange(cut[i], cut[i] + size[i])
         alone[own] = False
-        other = prints[own] >> (U(0) if (int(keys[cut[i]]) >> 32) & 1 else U(32))
+        other = _other(keys[own], prints[own])
         for k in range(4):
             byte = (other >> U(8 * k)) & U(255)
             order = np.argsort(byte, kind="stable")
-            pairs.append([own[order][x] for x in _compared(byte[order], prints[own[order]], distance)])
+            pairs.append([own[order][x] for x in in_groups(byte[order], prints[own[order]], distance)])
     rest = np.flatnonzero(alone)
     pairs.append([rest[x] for x in _compared(keys[rest], prints[rest], distance)])
     return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
 
 
+def _other(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """The half of each fingerprint that its anchor's key doesn't speak of."""
+    second = (keys >> U(32)) & U(1)
+    return (prints >> (U(32) * (U(1) - second))) & U(0xFFFFFFFF)
+
+
+def in_groups(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs that connect what all pairs under one key within distance connect; keys are sorted."""
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(cut, len(keys)))
+    few = np.repeat(size <= DENSE, size)
+    rest = np.flatnonzero(few)
+    pairs = [[rest[x] for x in _compared(keys[rest], prints[rest], distance)]]
+    for i in np.flatnonzero(size > DENSE).tolist():
+        pairs.append([cut[i] + x for x in connected(prints[cut[i] : cut[i] + size[i]], distance)])
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def connected(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs that connect what all pairs within distance connect. Neighbours in a few orders find most of a
+    dense group's largest component first. A link that they leave out between components has an end outside the largest,
+    so only those ends are compared with all."""
+    a = b = np.zeros(0, np.int64)
+    for turn in range(0, 64, 8):
+        order = np.argsort((prints << U(turn)) | (prints >> U((64 - turn) % 64)), kind="stable")
+        ends_a, ends_b = [a], [b]
+        for d in range(1, 17):
+            x, y = order[:-d], order[d:]
+            hit = np.bitwise_count(prints[x] ^ prints[y]) <= distance
+            ends_a.append(x[hit])
+            ends_b.append(y[hit])
+        a, b = local_stars(np.concatenate(ends_a), np.concatenate(ends_b))
+    root = np.arange(len(prints))
+    root[a] = b
+    ends_a, ends_b = [a], [b]
+    for i in np.flatnonzero(root != np.bincount(root).argmax()).tolist():
+        hit = np.flatnonzero((np.bitwise_count(prints ^ prints[i]) <= distance) & (root != root[i]))
+        ends_a.append(np.full(len(hit), i))
+        ends_b.append(hit)
+    return np.concatenate(ends_a), np.concatenate(ends_b)
+
+
 def _compared(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs under one key within distance; keys are sorted."""
     found_a, found_b = [], []
@@ -134,9 +182,10 @@ def _compared(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.n
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE, split: int = SPLIT) -> DataFrame:
     """prints: fp (bigint, distinct). Returns a, b: edges that connect exactly the fingerprints that chains of links
-    within distance (3 at most) connect. A task keeps one edge a fingerprint, not all pairs of a dense group."""
+    within distance (3 at most) connect. A task keeps one edge a fingerprint, not all pairs of a dense group, and holds
+    split fingerprints of one anchor at most: of more, it passes all on, each to four groups by a byte of its other half."""
     if distance > DISTANCE:
         raise ValueError("the two halves cover three differing bits at most")
 
@@ -148,36 +197,63 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 keys, owner = anchors(part)
                 yield pa.RecordBatch.from_arrays([long_array(keys), long_array(part[owner])], ["key", "fp"])
 
-    def compare(batches):
-        edges_a, edges_b, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
-        carry_k = carry_p = np.zeros(0, np.uint64)
+    def compare(batches, pairs, most):
+        """Edges (crowd null), and what is to be compared elsewhere: a, a fingerprint, in crowd (b null)."""
+        none = np.zeros(0, np.uint64)
+        edges_a, edges_b, held = [none], [none], 0
+        carry_k = carry_p = none
+        crowd = None  # the anchor that is being passed on
 
         def stars():
             a, b = local_stars(np.concatenate(edges_a), np.concatenate(edges_b))
             return [a], [b], len(a)
 
+        def sent():
+            a, b = long_array(edges_a[0]), long_array(edges_b[0])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), a, b], ["crowd", "a", "b"])
+
+        def passed_on(keys, own):
+            other = _other(keys, own)
+            for k in range(4):
+                group = keys | U(k << 33) | (((other >> U(8 * k)) & U(255)) << U(35))
+                yield pa.RecordBatch.from_arrays([long_array(group), long_array(own), pa.nulls(len(own), pa.int64())], ["crowd", "a", "b"])
+
         for batch in batches:
             keys = np.concatenate([carry_k, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
             own = np.concatenate([carry_p, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            if crowd is not None:
+                end = np.searchsorted(keys, crowd, "right")
+                yield from passed_on(keys[:end], own[:end])
+                keys, own = keys[end:], own[end:]
             cut = np.searchsorted(keys, keys[-1]) if len(keys) else 0
             carry_k, carry_p = keys[cut:], own[cut:]
-            a, b = close_pairs(keys[:cut], own[:cut], distance)
+            if len(keys):
+                crowd = None
+            if most is not None and len(carry_k) > most:
+                crowd = carry_k[0]
+                yield from passed_on(carry_k, carry_p)
+                carry_k = carry_p = none
+            a, b = pairs(keys[:cut], own[:cut], distance)
             edges_a.append(own[a])
             edges_b.append(own[b])
             held += len(a)
             if held > 500_000:
                 edges_a, edges_b, held = stars()
                 if held > 250_000:  # a task's own state stays bounded; what is sent keeps its links
-                    yield pa.RecordBatch.from_arrays([long_array(edges_a[0]), long_array(edges_b[0])], ["a", "b"])
-                    edges_a, edges_b, held = [edges_a[0][:0]], [edges_b[0][:0]], 0
-        a, b = close_pairs(carry_k, carry_p, distance)
+                    yield sent()
+                    edges_a, edges_b, held = [none], [none], 0
+        a, b = pairs(carry_k, carry_p, distance)
         edges_a.append(carry_p[a])
         edges_b.append(carry_p[b])
         edges_a, edges_b, _ = stars()
-        yield pa.RecordBatch.from_arrays([long_array(edges_a[0]), long_array(edges_b[0])], ["a", "b"])
-
-    met = prints.mapInArrow(replicate, "key bigint, fp bigint")
-    return met.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint")
+        yield sent()
+
+    found = "crowd bigint, a bigint, b bigint"
+    met = prints.mapInArrow(replicate, "key bigint, fp bigint").repartition("key").sortWithinPartitions("key")
+    first = written(met.mapInArrow(lambda batches: compare(batches, close_pairs, split), found))
+    crowds = first.where("crowd IS NOT NULL").select("crowd", "a").repartition("crowd").sortWithinPartitions("crowd")
+    second = crowds.mapInArrow(lambda batches: compare(batches, in_groups, None), found)
+    return first.where("crowd IS NULL").select("a", "b").union(second.select("a", "b"))
 
 
 def fingerprint_table(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:

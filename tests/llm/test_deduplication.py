@@ -1,6 +1,8 @@
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -191,8 +193,9 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_connect_what_three_bits_connect(spark, seed):
+@pytest.mark.parametrize(("seed", "split"), [(0, simhash.SPLIT), (1, simhash.SPLIT), (2, simhash.SPLIT), (0, 0), (1, 1), (2, 3)])
+def test_links_connect_what_three_bits_connect(spark, seed, split):
+    """Whatever a task holds of one anchor, and however much of it is dealt out once more."""
     draw = random.Random(seed)
     prints = {draw.getrandbits(64) for _ in range(60)}
     for p in sorted(prints)[:30]:
@@ -201,7 +204,7 @@ def test_links_connect_what_three_bits_connect(spark, seed):
     prints |= {0, 1, (1 << 64) - 1, 1 << 63, 0x7FFFFFFF, 0x80000000}
     prints = sorted(prints)
     df = spark.createDataFrame([(int(np.array([p], np.uint64).view(np.int64)[0]),) for p in prints], "fp bigint")
-    found = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+    found = {r.node: r.root for r in components.components(simhash.links(df, split=split)).collect()}
     signed = [int(np.array([p], np.uint64).view(np.int64)[0]) for p in prints]
     ours = [found.get(s, s) for s in signed]
     same = lambda x: {frozenset(i for i, y in enumerate(x) if y == z) for z in set(x)}
@@ -224,6 +227,36 @@ def test_crowds_at_an_anchor_lose_no_pair(monkeypatch):
     assert pairs[0] == pairs[1] and len(pairs[0]) > 100
 
 
+@pytest.mark.parametrize(("n", "spread"), [(1, 1), (300, 3), (300, 64), (2000, 12)])
+def test_connected_equals_all_pairs(monkeypatch, n, spread):
+    """A group around one word, from nothing but links to hardly any, in sorted groups of its own."""
+    draw = np.random.Generator(np.random.PCG64(n + spread))
+    flips = np.array([sum(1 << int(b) for b in draw.choice(64, draw.integers(0, spread, endpoint=True), replace=False)) for _ in range(n)], np.uint64)
+    prints = draw.permutation(np.unique(np.concatenate([flips ^ np.uint64(0x9E3779B97F4A7C15), flips])))
+    keys = np.sort(np.arange(len(prints), dtype=np.uint64) % np.uint64(2))
+
+    def classes(a, b):
+        root = np.arange(len(prints))
+        nodes, to = components.local_stars(a, b)
+        root[nodes] = to
+        return root.tolist()
+
+    every = classes(*simhash._compared(keys, prints, 3))
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    assert classes(*simhash.in_groups(keys, prints, 3)) == every
+
+
+def test_a_dense_crowd_takes_no_pair_of_all():
+    """All words within three bits of one, 43,745 of them: a second or two, where all pairs are a thousand million."""
+    bits = [np.uint64(1 << k) for k in range(64)]
+    prints = np.array([0, *(a for a in bits), *(a | b for a, b in itertools.combinations(bits, 2)), *(a | b | c for a, b, c in itertools.combinations(bits, 3))], np.uint64)
+    began = time.process_time()
+    a, b = simhash.connected(prints, 3)
+    assert time.process_time() - began < 20
+    nodes, root = components.local_stars(a, b)
+    assert len(nodes) == len(prints) - 1 and (root == 0).all()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200, 300)] + [(7, i) for i in range(1000, 1100)] + [(1050, 2), (5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

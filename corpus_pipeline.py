@@ -20,13 +20,13 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and a clear language stay, unless they cost far more bits a byte in it than the texts it was
-    learned from: those are in none of the languages. The trees are fitted on a bounded sample of rows with a lang; where
-    no row has one, only documents without a letter go."""
+    learned from: those are in none of the languages. The trees and what texts cost in them come from every row with a lang;
+    where no row has one, only documents without a letter go."""
     ship(spark)
-    rows = langid.sampled(docs)
-    if rows is None:
+    rows = langid.labelled(docs)
+    trees = langid.stored(rows)
+    if trees is None:
         return docs.where(docs.text.rlike(r"\p{L}")).select(*COLUMNS)
-    trees = langid.learned(rows)
     limit = F.create_map(*[F.lit(x) for pair in langid.rate_limits(rows, trees).items() for x in pair])
     named = langid.identified(docs, trees, with_rate=True)
     return named.where((named.lang_pred != "und") & (named.score >= MIN_LANGUAGE_SCORE) & (named.rate <= limit[named.lang_pred])).select(*COLUMNS)

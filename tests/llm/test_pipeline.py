@@ -45,6 +45,19 @@ def test_language_stage_drops_texts_in_no_learned_language(spark, docs, sf):
     assert {r.doc_id for r in named if r.lang_pred == r.lang} <= got <= {r.doc_id for r in named} and len(named) - len(got) <= 0.01 * len(named)
 
 
+def test_language_stage_learns_from_every_labelled_row(spark, docs, sf):
+    """More text in a language than op7's sample holds, and a few of its texts in letters that no other has."""
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(draw.choices(words, k=1500)), "en", "s", 1) for i in range(1000)]
+    rare = [(2000 + i, "".join(chr(0x4E00 + 100 * i + draw.randrange(100)) for _ in range(300)), "en", "s", 1) for i in range(20)]
+    assert sum(len(r[1]) for r in rows) > 1.5 * langid.SAMPLE_BYTES
+    both = spark.createDataFrame(rows + rare, docs.schema).repartition(8)
+    held = langid.sampled(both).where(F.ascii("text") > 127).count()
+    assert held < len(rare)  # a sample of this size leaves some out
+    assert ids(pipeline.identify_language(spark, both, sf)) == [r[0] for r in rows + rare]
+
+
 def test_near_duplicate_stage_keeps_one_of_each(spark, docs, sf):
     rows = docs.collect()
     root = grouped([own_fingerprint(r.text) for r in rows])

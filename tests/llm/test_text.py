@@ -249,6 +249,38 @@ def test_trees_keep_every_context_of_many_languages():
     assert bits[:2].argmin(1).tolist() == [7, 71] and not bits[2].any() and (bits[0] == bits[3]).all()
 
 
+def test_stored_trees_equal_those_in_memory(spark):
+    """Segments of a few entries, so that an order has many and an asked byte may lie before a segment's first."""
+    import pickle
+
+    import pyarrow as pa
+
+    from rangeloom.llm.common import texts_of
+
+    draw = np.random.Generator(np.random.PCG64(4))
+    rows = [(i, "".join(map(chr, draw.integers(0x20 + 40 * (i % 3), 0x90 + 90 * (i % 3), 50))), ("en", "é", "xx")[i % 3], None) for i in range(30)]
+    docs = table(spark, [*rows, (99, None, "en", None), (100, "", "yy", None), (101, "no language", None, None)]).drop("lang_pred", "score")
+    plain, asked = langid.fit(docs, sample_bytes=10**9), texts_of(pa.array([*(r[1] for r in rows), "", "unseen ü 語", *(chr(x) for x in range(1, 0x180))]))
+    for segment in (100, langid.SEGMENT):
+        trees = pickle.loads(pickle.dumps(langid.stored(langid.labelled(docs), segment)))
+        assert trees.langs == plain.langs == ["en", "xx", "é"]
+        assert (trees.code_lengths(asked) == plain.code_lengths(asked)).all()
+        assert segment > 100 or len(trees.trees[0][3].parts) > 1
+        whole = langid.identified(docs, plain).collect()
+        assert langid.identified(docs, trees).collect() == whole
+    assert langid.stored(langid.labelled(docs.where("doc_id > 98"))) is None
+
+
+def test_quantiles_are_exact(spark):
+    from rangeloom.llm.common import written
+
+    draw = np.random.Generator(np.random.PCG64(6))
+    own = {"a": draw.exponential(2, 30_000), "b": np.full(5000, 1.5), "c": np.array([3.0]), "d": np.repeat(np.nextafter(2.0, [1, 3]), [999, 1]), "e": np.append(draw.random(1998), [1e300, 1e300]), "f": 1 + draw.integers(0, 50, 20_000) * 2.0**-52}
+    rates = written(spark.createDataFrame([(k, float(x)) for k, v in own.items() for x in v], "lang string, rate double"))
+    want = {k: float(np.sort(v)[-(-999 * len(v) // 1000) - 1]) for k, v in own.items()}
+    assert langid.quantiles(rates, langid.RATE_QUANTILE) == want
+
+
 def test_repeated_rows_ties_and_long_texts_have_a_language(spark):
     rows = [(1, "the cat", "en", None), (1, "the cat", "en", None), (2, "the cat", "xx", None), (3, "le chat " * 60_000, "fr", None)]
     docs = table(spark, rows).drop("lang_pred", "score")
